@@ -71,3 +71,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Tasks that run at once, as far as the session knows."""
     return max(2, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in enough partitions for every core.
+
+    A table of few files gives few tasks however large they are; then, and only
+    then, its rows are shuffled by ``key``.
+    """
+    cores = parallelism(df.sparkSession)
+    parts = df.rdd.getNumPartitions()
+    if parts >= cores and (parts >= 4 * cores or len(df.inputFiles()) >= cores):
+        return df
+    return df.repartition(2 * cores, key)
