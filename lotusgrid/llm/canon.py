@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Letters of other scripts drawn like Latin ones.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O",
@@ -187,8 +189,9 @@ def same_look(df: DataFrame, record: str, fields: list[str]) -> DataFrame:
     fields never match; a record id met twice counts once per stored form.
     """
     parts = []
+    whole = spread(df.select(record, *fields), record)
     for f in fields:
-        t = df.select(F.lit(f).alias("field"), F.col(record).alias("rec"), F.col(f).alias("t")).where("t is not null and t <> ''")
+        t = whole.select(F.lit(f).alias("field"), F.col(record).alias("rec"), F.col(f).alias("t")).where("t is not null and t <> ''")
         parts.append(t)
     rows = parts[0]
     for p in parts[1:]:

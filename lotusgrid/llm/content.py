@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
+from .batches import slices
 from .canon import canon
 
 DIM = 1 << 15
@@ -218,7 +220,7 @@ def content_lines(df: DataFrame, record: str = "record_id", url: str = "url", bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(m)
-        for b in batches:
+        for b in slices(batches):
             ids, nos = [], []
             got = content_of(b.column(1).to_pylist(), b.column(2).to_pylist(), m, threshold, scorer)
             for r, lines in zip(b.column(0).to_pylist(), got):
@@ -227,4 +229,4 @@ def content_lines(df: DataFrame, record: str = "record_id", url: str = "url", bo
                     nos.extend([i for i, _ in lines])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int64())], names=[record, "line_no"])
 
-    return df.select(record, url, body).mapInArrow(run, f"`{record}` long, line_no long")
+    return spread(df.select(record, url, body), record).mapInArrow(run, f"`{record}` long, line_no long")
