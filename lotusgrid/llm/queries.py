@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import canon, content, lines, parity
+from . import canon, content, fmindex, lines, mix, parity, pii
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +30,32 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.same_look(table(spark, sf_dir, "manifest"), "record_id", ["title", "body"])
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.masked_documents(table(spark, sf_dir, "documents"), key="test key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_classes, p4_found, p5_found, p6_found)}
+    return {f.__name__: f for f in (p2_found, p2_classes, p4_found, p5_found, p6_found, p7_found, p7_spans, p8_mix, p8_shares, p9_found, p9_masked)}
 
 
 def oracle_sql() -> dict[str, str]:
