@@ -42,7 +42,7 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 def with_pages(log: DataFrame, stored: DataFrame) -> DataFrame:
     """Records with their page; ``html`` is null where the file is missing. Undecodable bytes are replaced."""
     name = F.substring_index("path", "/", -1)
-    files = stored.select(name.alias("_file"), F.decode("content", "utf-8").alias("html"))
+    files = stored.select(name.alias("_file"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
     return log.withColumn("_file", name).join(files, "_file", "left").drop("_file")
 
 

@@ -14,7 +14,7 @@ _LOCAL = "*[local-name()='{}']"
 
 def text_of(content: Column) -> Column:
     """Text of a body; a gzip body must be unpacked by the reader of the source."""
-    return F.decode(content, "utf-8")
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def robots_sitemaps(robots: DataFrame) -> DataFrame:
