@@ -65,21 +65,25 @@ def boxes_meet(a: Column, b: Column) -> Column:
 
 
 def clipped_length(ring: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Length of the part of a segment inside a convex ring (Cyrus-Beck), edge included."""
-    side = F.when(twice_area(ring) >= 0, 1.0).otherwise(-1.0)
+    """Length of the part of a segment inside a convex ring (Cyrus-Beck), edge included.
+
+    The ring's direction is found once and carried along, so the work is linear in its corners.
+    """
     dx, dy = bx - ax, by - ay
 
     def step(acc: Column, s: Column) -> Column:
-        nx, ny = -(s["by"] - s["ay"]) * side, (s["bx"] - s["ax"]) * side
-        den = nx * dx + ny * dy
-        num = nx * (ax - s["ax"]) + ny * (ay - s["ay"])
-        t = F.when(den != 0, -num / den)
+        ex, ey = s["bx"] - s["ax"], s["by"] - s["ay"]
+        den = acc["side"] * (ex * dy - ey * dx)
+        num = acc["side"] * (ex * (ay - s["ay"]) - ey * (ax - s["ax"]))
+        t = -num / F.nullif(den, F.lit(0.0))
         low = F.when(den > 0, F.greatest(acc["t0"], t)).otherwise(acc["t0"])
         high = F.when(den < 0, F.least(acc["t1"], t)).when((den == 0) & (num < 0), F.lit(-1.0)).otherwise(acc["t1"])
-        return F.struct(low.alias("t0"), high.alias("t1"))
+        return F.struct(low.alias("t0"), high.alias("t1"), acc["side"].alias("side"))
 
-    t = F.aggregate(edges(ring), F.struct(F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1")), step)
-    return F.greatest(F.lit(0.0), t["t1"] - t["t0"]) * F.sqrt(dx * dx + dy * dy)
+    side = F.when(twice_area(ring) >= 0, 1.0).otherwise(-1.0)
+    start = F.struct(F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"), side.alias("side"))
+    inside = F.aggregate(edges(ring), start, step, lambda a: F.greatest(F.lit(0.0), a["t1"] - a["t0"]))
+    return inside * F.sqrt(dx * dx + dy * dy)
 
 
 def utm(lon: Column, lat: Column, zone: int = 48) -> Column:

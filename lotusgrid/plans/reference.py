@@ -15,7 +15,7 @@ from .. import contracts
 from ..functions import geo, text, timebin
 from ..functions import lexicon as L
 from ..operators import evaluate, panel, roads, weather
-from ..session import table
+from ..session import spread, table
 from ..sources import manifest, sitemap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,14 +187,15 @@ def q_crawl_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _articles(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "manifest")
+    m = spread(table(spark, sf, "manifest").select("record_id", "title", "body"), "record_id")
     return m.select("record_id", text.nfc(F.col("title")).alias("title"), text.nfc(F.col("body")).alias("body"))
 
 
 @query()
 def q_two_tier_filter(spark: SparkSession, sf: str) -> DataFrame:
     """P1 before P3: the cheap url test first, then the text tests, all in one plan. Its patterns have no SQL twin."""
-    m = table(spark, sf, "manifest").where(text.slug_passes(F.col("url")))
+    m = table(spark, sf, "manifest").where(text.slug_passes(F.col("url"))).select("record_id", "title", "body")
+    m = spread(m, "record_id")
     m = m.select("record_id", text.nfc(F.col("title")).alias("title"), text.nfc(F.col("body")).alias("body"))
     m = m.withColumn("acc", text.accident_report(F.col("title"), F.col("body"))).withColumn("loc", text.resolve_location(F.col("title"), F.col("body")))
     m = m.withColumn("c", text.classify(F.col("acc"), F.col("loc")))
