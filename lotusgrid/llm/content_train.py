@@ -50,7 +50,7 @@ def label_page(lines: list[str], label: str) -> list[int] | None:
     return [CONTENT if x else 0 if i < own[0] else 3 if i > own[-1] else 2 for i, x in enumerate(raw)]
 
 
-def train(pages: list[tuple[list[str], str]], epochs: int = 6, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> Model:
+def train(pages: list[tuple[list[str], str]], epochs: int = 10, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     xs, ys, edge, root, leaf = [], [], np.ones((STATES, STATES)), np.ones(STATES), np.ones(STATES)
     for lines, label in pages:
@@ -72,7 +72,7 @@ def train(pages: list[tuple[list[str], str]], epochs: int = 6, rate: float = 0.3
         for lo in range(0, len(order), 256):
             idx = order[lo : lo + 256]
             # Words are dropped at random, all of a line's words at times: layout and neighbours must do for unseen lines.
-            rows = [np.concatenate([xs[i][0], xs[i][1][rng.random(len(xs[i][1])) > (1.0 if rng.random() < 0.25 else 0.2)]]) for i in idx]
+            rows = [np.concatenate([xs[i][0], xs[i][1][rng.random(len(xs[i][1])) > (1.0 if rng.random() < 0.12 else 0.2)]]) for i in idx]
             flat = np.concatenate(rows)
             owner = np.repeat(np.arange(len(idx)), [len(r) for r in rows])
             z = np.zeros((len(idx), STATES))
