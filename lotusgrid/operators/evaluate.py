@@ -22,20 +22,39 @@ def confusion(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     )
 
 
-def pr_curve(df: DataFrame, score: str, actual: str) -> DataFrame:
-    """(score, tp, fp, precision, recall) at each distinct score, from high to low.
+def running_sums(df: DataFrame, order: str, values: list[str], buckets: int = 200) -> DataFrame:
+    """``df`` with run_<value>: sums of all rows of no lower ``order`` (a number), and total_<value>.
 
-    Rows are summed by score first; the running sums are over distinct scores.
+    A running sum over everything in one window would be one task. Here rows fall into
+    buckets of about equal size by quantiles; sums of whole buckets (at most
+    ``buckets`` + 1 rows) are put before the sums within each.
     """
+    cuts = df.approxQuantile(order, [k / buckets for k in range(1, buckets)], 0.001) if buckets > 1 else []
+    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    b = df.withColumn("_b", F.size(F.filter(bounds, lambda c: c <= F.col(order).cast("double"))))
+    sums = b.groupBy("_b").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    above = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = sums.select("_b", *[F.coalesce(F.sum(f"_s_{v}").over(above), F.lit(0)).alias(f"_a_{v}") for v in values], *[F.sum(f"_s_{v}").over(whole).alias(f"total_{v}") for v in values])
+    within = Window.partitionBy("_b").orderBy(F.col(order).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = b.join(F.broadcast(sums), "_b")
+    for v in values:
+        out = out.withColumn(f"run_{v}", F.sum(v).over(within) + F.col(f"_a_{v}"))
+    return out.drop("_b", *[f"_a_{v}" for v in values])
+
+
+def _by_score(df: DataFrame, score: str, actual: str) -> DataFrame:
     by = df.where(F.col(score).isNotNull() & F.col(actual).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(actual).cast("int")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = by.agg(F.sum("p").alias("positives"))
-    run = by.withColumn("tp", F.sum("p").over(w)).withColumn("seen", F.sum("n").over(w)).crossJoin(F.broadcast(total))
-    return run.select("score", "tp", (F.col("seen") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("seen")).alias("precision"), (F.col("tp") / F.nullif("positives", F.lit(0))).alias("recall"))
+    return running_sums(by, "score", ["p", "n"])
+
+
+def pr_curve(df: DataFrame, score: str, actual: str) -> DataFrame:
+    """(score, tp, fp, precision, recall) at each distinct score; rows are summed by score first."""
+    r = _by_score(df, score, actual)
+    return r.select("score", F.col("run_p").alias("tp"), (F.col("run_n") - F.col("run_p")).alias("fp"), (F.col("run_p") / F.col("run_n")).alias("precision"), (F.col("run_p") / F.nullif("total_p", F.lit(0))).alias("recall"))
 
 
-def average_precision(curve: DataFrame) -> DataFrame:
+def average_precision(df: DataFrame, score: str, actual: str) -> DataFrame:
     """One row: the area under the curve, as a step function."""
-    w = Window.orderBy(F.col("score").desc())
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
-    return curve.withColumn("part", step * F.col("precision")).agg(F.sum("part").alias("average_precision"))
+    r = _by_score(df, score, actual)
+    return r.agg(F.sum(F.col("p") / F.nullif("total_p", F.lit(0)) * F.col("run_p") / F.col("run_n")).alias("average_precision"))

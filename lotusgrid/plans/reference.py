@@ -310,7 +310,18 @@ WITH l AS ({LABELS_SQL}), b AS (SELECT score, sum(actual::INT) AS p, count(*) AS
  s AS (SELECT tp / seen::DOUBLE AS pr, tp / t - coalesce(lag(tp / t) OVER (ORDER BY score DESC), 0) AS d FROM r)
 SELECT round(sum(pr * d), 6) AS average_precision FROM s""")
 def q_average_precision(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.average_precision(evaluate.pr_curve(_labels(spark, sf), "score", "actual")).select(r6("average_precision").alias("average_precision"))
+    return evaluate.average_precision(_labels(spark, sf), "score", "actual").select(r6("average_precision").alias("average_precision"))
+
+
+@query()
+def q_hex_assign(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid's cell of each centre, its own centre and exact area."""
+    from ..functions import hexgrid
+
+    c = table(spark, sf, "cells").where("centroid_lat between 19 and 24 and centroid_lon between 102 and 110 and resolution between 7 and 9")
+    c = c.select(F.lower(F.trim("h3_index")).alias("h3_index"), F.when(F.col("resolution") == 7, hexgrid.cell_at(F.col("centroid_lat"), F.col("centroid_lon"), 7)).otherwise(hexgrid.cell_at(F.col("centroid_lat"), F.col("centroid_lon"), 8)).alias("cell")).distinct()
+    c = c.withColumn("d", hexgrid.cell(F.col("cell")))
+    return c.select("h3_index", "cell", "d.resolution", r6("d.centroid_lat").alias("lat"), r6("d.centroid_lon").alias("lon"), r6("d.area_km2").alias("area_km2"))
 
 
 # ---------------------------------------------------------------- contracts

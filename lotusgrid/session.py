@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: list[str] = []
+_CUTS: list[str] = []
 
 
 def get_spark(app: str = "lotusgrid", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -64,10 +65,20 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     at = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _CUTS.append(at)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables that ``cut`` wrote; DataFrames that read them end here. To be called when results are stored."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _CUTS:
+        p = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks that run at once, as far as the session knows."""
     return max(2, spark.sparkContext.defaultParallelism)
