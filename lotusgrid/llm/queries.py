@@ -58,5 +58,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p2_found, p2_classes, p4_found, p5_found, p6_found, p7_found, p7_spans, p8_mix, p8_shares, p9_found, p9_masked)}
 
 
+def form_sql(t: str) -> str:
+    """The one form of a text in SQL, for the characters that single rules change: invisible ones, widths, spaces, look-alikes."""
+    ones = {c: o for c, o in canon.MEMO.items() if len(c) == 1 and len(o) == 1 and (c in canon.LOOKALIKES or "\uff01" <= c <= "\uff5e" or o == " ")}
+    gone = "".join(c for c, o in canon.MEMO.items() if len(c) == 1 and o == "" and c < "\U00010000")
+    return f"nfc_normalize(translate({t}, '{''.join(ones)}{gone}', '{''.join(ones.values()).replace(chr(39), chr(39) * 2)}'))"
+
+
+SITE_SQL = "regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1), '^(?:www|m)\\.', '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    p4 = f"""
+    WITH m AS (SELECT record_id, {SITE_SQL} AS site, string_split({form_sql("body")}, chr(10)) AS ls FROM manifest),
+     n AS (SELECT site, count(DISTINCT record_id) AS n_docs FROM m GROUP BY 1),
+     l AS (SELECT record_id, site, unnest(range(1, len(ls) + 1)) AS line_no, trim(regexp_replace(unnest(ls), '[\\s\\x0b]+', ' ', 'g')) AS line FROM m),
+     o AS (SELECT site, line FROM l JOIN n USING (site) WHERE line <> '' GROUP BY site, line, n_docs HAVING count(DISTINCT record_id) >= greatest(4, 0.05 * n_docs))
+    SELECT record_id, line_no FROM l JOIN o USING (site, line)"""
+    p6 = " UNION ALL ".join(
+        f"""SELECT '{f}' AS field, a.record_id AS record_a, b.record_id AS record_b
+        FROM (SELECT record_id, {f} AS t, {form_sql(f)} AS c FROM manifest WHERE {f} <> '') a JOIN (SELECT record_id, {f} AS t, {form_sql(f)} AS c FROM manifest WHERE {f} <> '') b
+         ON a.c = b.c AND a.t <> b.t AND a.record_id < b.record_id"""
+        for f in ("title", "body")
+    )
+    words = "regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}]+')"
+    grams = "unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')))"
+    p7 = f"""
+    WITH d AS (SELECT DISTINCT doc_id, {grams} AS g FROM (SELECT doc_id, {words} AS w FROM documents)),
+     i AS (SELECT DISTINCT item_id, {grams} AS g FROM (SELECT item_id, {words} AS w FROM eval_items))
+    SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)"""
+    return {"p4_found": p4, "p6_found": p6, "p7_found": p7}
