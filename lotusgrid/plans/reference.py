@@ -519,7 +519,7 @@ def q_round3(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", geo.round3(F.col("o_totalprice") / 7).alias("per_day"), geo.round3(F.col("o_totalprice")).alias("total"))
 
 
-@query("SELECT p_size AS resolution, max((p_retailprice - p_size) * 0.65) AS extent_x, max(p_partkey % 50 * 0.65) AS extent_y FROM part GROUP BY 1")
+@query("SELECT p_size AS resolution, max((p_retailprice - p_size) * 0.65::DOUBLE) AS extent_x, max(p_partkey % 50 * 0.65::DOUBLE) AS extent_y FROM part GROUP BY 1")
 def q_extent_max(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").groupBy(F.col("p_size").alias("resolution")).agg(F.max((F.col("p_retailprice") - F.col("p_size")) * 0.65).alias("extent_x"), F.max(F.col("p_partkey") % 50 * 0.65).alias("extent_y"))
 
