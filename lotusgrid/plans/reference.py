@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import contracts
 from ..functions import geo, text, timebin
 from ..functions import lexicon as L
-from ..operators import evaluate, panel, roads, weather
+from ..operators import evaluate, geocode, panel, roads, weather
 from ..session import spread, table
 from ..sources import manifest, sitemap
 
@@ -423,6 +423,35 @@ def q_way_centroid(spark: SparkSession, sf: str) -> DataFrame:
     return roads.way_centres(roads.way_points(ways, nodes)).withColumn("lon", r6("lon")).withColumn("lat", r6("lat"))
 
 
+@query(f"""
+WITH {_PTS_SQL}, g AS (SELECT id, lon AS ax, lat AS ay, lead(lon) OVER w AS bx, lead(lat) OVER w AS "by", row_number() OVER w AS seq FROM p WHERE lon IS NOT NULL WINDOW w AS (PARTITION BY id ORDER BY pos)),
+ s AS (SELECT *, sqrt(pow(bx - ax, 2) + pow("by" - ay, 2)) AS len FROM g WHERE bx IS NOT NULL), c AS (SELECT *, sum(len) OVER (PARTITION BY id ORDER BY seq) AS aft FROM s),
+ h AS (SELECT id AS request, seq, ax, ay, bx, "by", CASE WHEN len > 0 THEN (id % 40 + 0.5 - (aft - len)) / len ELSE 0 END AS t FROM c WHERE id % 40 + 0.5 BETWEEN aft - len AND aft)
+SELECT request, round(arg_min(ax + t * (bx - ax), seq), 6) AS x, round(arg_min(ay + t * ("by" - ay), seq), 6) AS y FROM h GROUP BY 1""")
+def q_km_marker(spark: SparkSession, sf: str) -> DataFrame:
+    """The point a given length along each way."""
+    ways, nodes = _line_nodes(spark, sf)
+    segs = roads.segments(roads.way_points(ways, nodes)).withColumnRenamed("id", "road")
+    asked = ways.select(F.col("id").alias("request"), F.col("id").alias("road"), (F.col("id") % 40 + 0.5).alias("metres"))
+    return geocode.at_marker(asked, segs).select("request", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query("""
+WITH s AS (SELECT 's' || s_suppkey % 40 AS k, (s_suppkey % 53 * 10)::DOUBLE AS ax, (s_suppkey % 47 * 10)::DOUBLE AS ay, (s_suppkey % 53 * 10 + s_suppkey % 9 * 30 - 120)::DOUBLE AS bx, (s_suppkey % 47 * 10 + s_suppkey % 7 * 40 - 120)::DOUBLE AS "by" FROM supplier),
+ r AS (SELECT p_partkey AS request, 's' || p_partkey % 40 AS ka, 's' || p_partkey * 7 % 40 AS kb FROM part WHERE p_size <= 20 AND p_partkey % 40 <> p_partkey * 7 % 40),
+ j AS (SELECT request, a.ax, a.ay, a.bx, a."by", b.ax AS cx, b.ay AS cy, b.bx AS dx, b."by" AS dy FROM r JOIN s a ON a.k = ka JOIN s b ON b.k = kb),
+ d AS (SELECT *, (bx - ax) * (dy - cy) - ("by" - ay) * (dx - cx) AS den FROM j), t AS (SELECT *, ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den AS t, ((cx - ax) * ("by" - ay) - (cy - ay) * (bx - ax)) / den AS u FROM d WHERE den <> 0)
+SELECT request, round(x, 6) AS x FROM (SELECT request, min(ax + t * (bx - ax)) AS x FROM t WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 GROUP BY 1)""")
+def q_street_crossing(spark: SparkSession, sf: str) -> DataFrame:
+    """Westernmost crossing of two named streets, each of several segments."""
+    k, p = F.col("s_suppkey"), F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("s"), (c % 40).cast("string"))
+    d = lambda c: c.cast("double")
+    segs = table(spark, sf, "supplier").select(name(k).alias("name"), d(k % 53 * 10).alias("ax"), d(k % 47 * 10).alias("ay"), d(k % 53 * 10 + k % 9 * 30 - 120).alias("bx"), d(k % 47 * 10 + k % 7 * 40 - 120).alias("by"))
+    asked = table(spark, sf, "part").where("p_size <= 20 and p_partkey % 40 <> p_partkey * 7 % 40").select(p.alias("request"), name(p).alias("street_a"), name(p * 7).alias("street_b"))
+    return geocode.crossings(asked, segs, 100.0).select("request", r6("x").alias("x"))
+
+
 @query("""
 WITH a AS (SELECT p_partkey AS id, p_partkey % 200 * 1.0 AS x0, p_partkey % 200 + p_size % 7 * 1.0 AS x1, p_partkey % 150 * 1.0 AS y0, p_partkey % 150 + p_size % 5 * 1.0 AS y1 FROM part WHERE p_size <= 8),
  b AS (SELECT s_suppkey AS sid, s_suppkey % 190 * 1.0 AS x0, s_suppkey % 190 + 3.0 AS x1, s_suppkey % 140 * 1.0 AS y0, s_suppkey % 140 + 4.0 AS y1 FROM supplier)
