@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: list[str] = []
 _CUTS: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_spark(app: str = "lotusgrid", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -61,12 +62,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Lineage ends here: a lost executor costs a re-read, not a recomputation. The
-    write is atomic through Spark's committer.
+    write is atomic through Spark's committer, and the shuffle files behind it are
+    removed as soon as it is done.
     """
     spark = df.sparkSession
     at = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     _CUTS.append(at)
-    df.write.option("compression", "zstd").parquet(at)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
