@@ -92,5 +92,36 @@ def p3_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumnRenamed("source", "site").join(sites, "site", "left").select("site", "declared", F.col("zone").alias("estimated"), "violations", "n")
 
 
+def _p3_sql() -> str:
+    """The same notations, calendars and zones in SQL (needs the database's zone tables)."""
+    names = ["y", "mo", "d", "p", "q", "name", "h", "mi", "s", "half", "zone"]
+    parts = []
+    for rx in times.NOTATIONS:
+        pattern = rx.pattern.replace("'", "''")
+        groups = sorted(rx.groupindex, key=rx.groupindex.get)
+        cols = ", ".join(f"g.{n} AS {n}" if n in groups else f"'' AS {n}" for n in names)
+        keys = ", ".join(f"'{g}'" for g in groups)
+        parts.append(f"SELECT tab, row_id, tz, ord, {cols} FROM (SELECT *, regexp_extract(v, '^(?:{pattern})$', [{keys}]) AS g FROM v WHERE regexp_full_match(v, '{pattern}'))")
+    abbreviations = " ".join(f"WHEN '{k}' THEN {v * 3600}" for k, v in times.ABBREVIATIONS.items())
+    site = "regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1), '^(?:www|m)\\.', '')"
+    return f"""
+    WITH v AS (
+      SELECT 'manifest' AS tab, m.record_id AS row_id, trim(regexp_replace(published_at, '\\s+', ' ', 'g')) AS v, tz, coalesce(date_order, 'dmy') AS ord
+      FROM (SELECT *, {site} AS site FROM manifest) m LEFT JOIN sites USING (site) WHERE published_at IS NOT NULL
+      UNION ALL SELECT 'weather', reading_id, trim(time_bin), '{CITY_ZONE}', 'dmy' FROM weather WHERE time_bin IS NOT NULL AND NOT regexp_matches(time_bin, '{CANONICAL_BIN}')),
+     g AS ({" UNION ALL ".join(parts)}),
+     n AS (SELECT *, CASE WHEN name <> '' THEN list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(name[1:3])) WHEN mo <> '' THEN mo::INT WHEN ord = 'mdy' THEN p::INT ELSE q::INT END AS month,
+       CASE WHEN d <> '' THEN d::INT WHEN ord = 'mdy' THEN q::INT ELSE p::INT END AS day, upper(replace(half, '.', '')) AS ap, replace(trim(zone, '()'), ' ', '') AS z FROM g),
+     t AS (SELECT *, CASE WHEN ap = '' THEN h::INT WHEN h::INT BETWEEN 1 AND 12 THEN h::INT % 12 + CASE WHEN ap IN ('PM', 'CH') THEN 12 ELSE 0 END ELSE 99 END AS hour,
+       regexp_extract(z, '^(?:GMT|UTC)?([+-])(\\d{{1,2}}):?(\\d{{2}})?$', ['sign', 'oh', 'om']) AS o FROM n),
+     w AS (SELECT tab, row_id, tz, z, try_cast(format('{{}}-{{:02d}}-{{:02d}} {{:02d}}:{{:02d}}:{{:02d}}', y, month, day, hour, CASE WHEN mi = '' THEN 0 ELSE mi::INT END, CASE WHEN s = '' THEN 0 ELSE s::INT END) AS TIMESTAMP) AS ts,
+       CASE WHEN o.oh <> '' THEN (o.oh::INT * 3600 + CASE WHEN o.om = '' THEN 0 ELSE o.om::INT END * 60) * CASE WHEN o.sign = '-' THEN -1 ELSE 1 END ELSE CASE z {abbreviations} END END AS off FROM t WHERE month IS NOT NULL AND hour < 24),
+     u AS (SELECT *, timezone(tz, ts) AS u FROM w WHERE ts IS NOT NULL AND (z = '' OR off IS NOT NULL)),
+     r AS (SELECT tab, row_id, CASE WHEN z <> '' THEN ts - off * INTERVAL 1 SECOND
+        WHEN timezone(tz, u) = ts AND timezone(tz, u + INTERVAL 1 HOUR) <> ts AND timezone(tz, u - INTERVAL 1 HOUR) <> ts THEN timezone('UTC', u) END AS inst FROM u
+      UNION ALL SELECT tab, row_id, make_timestamp(CASE WHEN length(v) = 13 THEN try_cast(v AS BIGINT) // 1000 ELSE try_cast(v AS BIGINT) END * 1000000) FROM v WHERE regexp_full_match(v, '\\d{{9,10}}|\\d{{13}}'))
+    SELECT tab, row_id, strftime(inst, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM r WHERE inst IS NOT NULL"""
+
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_containing, p3_found, p3_zones)}
-SQL = {"p1_found": P1_SQL, "p1_containing": P1_CONTAINING_SQL}
+SQL = {"p1_found": P1_SQL, "p1_containing": P1_CONTAINING_SQL, "p3_found": _p3_sql()}
