@@ -11,8 +11,8 @@ solved on the driver; sources at most ``MAX_SOURCES``.
 Documents are then selected by seed: each pattern is laid out in seeded order as a
 line of tokens, once per repetition; each source takes a stretch of the line as long
 as its flow. A stretch of at most m lengths meets a document at most m times, so no
-document is used more than the least ``max_repeats`` of the sources that hold its
-text. The running sums are taken by buckets of the seeded order.
+document is used more than its source's ``max_repeats``, nor more for another source
+than that one's. The running sums are taken by buckets of the seeded order.
 
 Defined results: null, empty and zero-token texts are not used; sources not listed
 take no part; copies are documents of their own; sources too small for their quota
@@ -66,8 +66,8 @@ def sized(df: DataFrame, doc_id: str, text: str, source: str, tokenizer: str = T
     return spread(rows, "doc").mapInArrow(run, "doc long, src string, h binary, n long")
 
 
-def min_cost_flow(patterns: list[tuple[tuple[str, ...], int, int]], quotas: dict[str, int]) -> dict[tuple[int, str], int]:
-    """Flow from each pattern (sources, size, repetitions) to each source, of greatest amount at least cost."""
+def min_cost_flow(patterns: list[tuple[tuple[str, ...], int, int]], quotas: dict[str, int], limits: dict[str, int]) -> dict[tuple[int, str], int]:
+    """Flow from each pattern (sources, size, repetitions) to each source (quota, repetitions), of greatest amount at least cost."""
     names = list(quotas)
     place = {s: i for i, s in enumerate(names)}
     source, sink, first = 0, 1, 2
@@ -87,7 +87,7 @@ def min_cost_flow(patterns: list[tuple[tuple[str, ...], int, int]], quotas: dict
         for r in range(repeats):
             arc(source, first + i, size, r)
         for s in members:
-            routes[(i, s)] = arc(first + i, at_source + place[s], size * repeats, 0)
+            routes[(i, s)] = arc(first + i, at_source + place[s], size * min(repeats, limits[s]), 0)
     for s, q in quotas.items():
         arc(at_source + place[s], sink, q, 0)
     while True:
@@ -132,22 +132,22 @@ def mixed(df: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     quotas = {r["src"]: int(round(float(r["target_share"] or 0) * budget)) for r in wanted}
     listed = docs.where(F.col("src").isin(list(repeats)) & (F.col("n") > 0))
     of_text = listed.groupBy("h").agg(F.array_sort(F.collect_set("src")).alias("pattern"))
-    listed = listed.join(of_text, "h").select("doc", "n", "pattern")
+    listed = listed.join(of_text, "h").select("doc", "n", F.struct(F.col("src").alias("own"), "pattern").alias("pattern"))
     order = F.xxhash64("doc", F.lit(seed))
     listed = cut(listed.withColumn("u", order), "mix-listed")
     sizes = listed.groupBy("pattern").agg(F.sum("n").alias("size"), F.count("*").alias("rows")).collect()
-    sizes.sort(key=lambda r: tuple(r["pattern"]))
-    patterns = [(tuple(r["pattern"]), r["size"], min(repeats[s] for s in r["pattern"])) for r in sizes]
-    flow = min_cost_flow(patterns, quotas)
+    sizes.sort(key=lambda r: (r["pattern"]["own"], r["pattern"]["pattern"]))
+    patterns = [(tuple(r["pattern"]["pattern"]), r["size"], repeats[r["pattern"]["own"]]) for r in sizes]
+    flow = min_cost_flow(patterns, quotas, repeats)
     # Each source's stretch of each pattern's line.
     stretches = []
     for i, (members, size, _) in enumerate(patterns):
         at = 0
         for s in members:
             if f := flow.get((i, s), 0):
-                stretches.append((list(members), s, size, at, at + f))
+                stretches.append(((sizes[i]["pattern"]["own"], list(members)), s, size, at, at + f))
                 at += f
-    lines = spark.createDataFrame(stretches, "pattern array<string>, source string, size long, a long, e long")
+    lines = spark.createDataFrame(stretches, "pattern struct<own: string, pattern: array<string>>, source string, size long, a long, e long")
     buckets = max(1, sum(r["rows"] for r in sizes) // BUCKET_ROWS)
     listed = listed.withColumn("bucket", F.floor((F.shiftright("u", 11).cast("double") / F.lit(float(1 << 53)) + 0.5) * buckets))
     sums = listed.groupBy("pattern", "bucket").agg(F.sum("n").alias("in_bucket"))
