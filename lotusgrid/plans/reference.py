@@ -6,6 +6,7 @@ Timestamps without zone are compared as text, doubles rounded to fixed places.
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,8 +16,9 @@ from .. import contracts
 from ..functions import geo, text, timebin
 from ..functions import lexicon as L
 from ..operators import evaluate, geocode, panel, roads, weather
-from ..session import spread, table
+from ..session import shared_dir, spread, table
 from ..sources import manifest, sitemap
+from ..streaming import bins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,6 +61,21 @@ def q_timebin_6h_agg(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", F.date_format("b", ISO).alias("bin"), "temp_mean", "precipitation_sum", "visibility_min", "wind_speed_max", "n_rows")
 
 
+@query("""
+SELECT user_id AS key, strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%dT%H:%M:%S') AS bin, round(avg(value), 6) AS mean, round(sum(value), 6) AS total, min(value) AS low, max(value) AS high, count(*) AS n
+FROM events GROUP BY 1, 2""")
+def q_stream_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming twin of the bins, run over the table as a stream until its input is used up."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf, "events").schema
+    at = F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")))
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet").withColumn("ts", at)  # a pattern: a stream does not take the name of one file
+    q = bins.write_complete(bins.six_hour_stream(rows, "ts", "user_id", "value"), f"{path}/table", f"{path}/state")
+    q.awaitTermination()
+    wall = timebin.local_wall(F.col("bin"), "UTC")
+    return spark.read.parquet(f"{path}/table").select("key", F.date_format(wall, ISO).alias("bin"), r6("mean").alias("mean"), r6("total").alias("total"), "low", "high", "n")
+
+
 @query("SELECT DISTINCT strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%dT%H:%M:%S') || '+07:00' AS time_bin FROM events")
 def q_timebin_iso(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(timebin.iso(timebin.floor_bin(F.col("ts"))).alias("time_bin")).distinct()

@@ -26,6 +26,11 @@ def write_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def write_complete(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The whole aggregate after each batch, as one table that is replaced."""
+    return stream.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
     """Keeps the last row of each key in a table of versions: batch n writes version n from version n - 1, so a repeated batch writes the same."""
 
