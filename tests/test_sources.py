@@ -128,3 +128,17 @@ def test_gzip_text(spark, tmp_path):
     (tmp_path / "s.xml.gz").write_bytes(gzip.compress(URLSET.encode()))
     got = spark.read.text(str(tmp_path / "s.xml.gz"), wholetext=True).select(F.lit("g").alias("url"), F.col("value").alias("body"))
     assert sitemap.entries(got).count() == 2
+
+
+def test_cell_images(spark):
+    from lotusgrid.functions import render
+    from lotusgrid.operators import roads
+
+    views = spark.createDataFrame([("a", (0.0, 0.0, 100.0, 100.0)), ("b", (0.0, 0.0, 1.0, 1.0))], "h3_index string, box struct<x0: double, y0: double, x1: double, y1: double>")
+    shapes = spark.createDataFrame([("a", "primary", [[0.0, 50.0], [100.0, 50.0]]), ("a", "water", [[10.0, 10.0], [90.0, 10.0], [90.0, 90.0], [10.0, 90.0]]), ("a", "footpath", [[0.0, 0.0], [1.0, 1.0]])], "h3_index string, kind string, points array<array<double>>")
+    got = {r.h3_index: bytes(r.image) for r in render.cell_images(views, shapes).collect()}
+    assert got["b"] == render.png(render.canvas()) and got["a"] != got["b"] and got["a"] == render.draw(0, 0, 100, 100, [("primary", [[0, 50], [100, 50]]), ("water", [[10, 10], [90, 10], [90, 90], [10, 90]])])
+    t = spark.createDataFrame([({"natural": "water"}, [1, 2, 3, 1]), ({"waterway": "stream"}, [1, 2, 1]), ({}, [])], "tags map<string,string>, refs array<long>")
+    assert [tuple(r) for r in t.select(roads.is_water(F.col("tags")), roads.is_closed_polygon(F.col("refs"))).collect()] == [(True, True), (False, False), (False, False)]
+    styles = spark.createDataFrame([("primary_link",), (None,)], "h string").select(roads.style_key(F.col("h")).alias("s")).collect()
+    assert [r.s for r in styles] == ["primary", None]
