@@ -5,10 +5,14 @@ XOR of the hashes of a set is its parity sketch: runs that both sets hold cancel
 the Hamming distance of two sketches never exceeds the symmetric difference of the
 sets. A similarity of at least s bounds that difference by (|A|+|B|)(1-s)/(1+s).
 
-1. Each set is cut by hash into P parts, P growing with the size band of the
-   smaller record, and each part is XORed to a 64-bit sketch. Where a part holds no
-   difference the two sketches agree (pigeonhole): equal part sketches are joined.
-   ``tables`` independent cuts are made; a pair has to agree in ``min_hits`` parts.
+1. Candidates agree in a band of ``BAND_ROWS`` least hashes. A band agrees with
+   probability s^BAND_ROWS whatever the sizes of the sets, so ``n_bands`` bands keep the
+   computed share of lost pairs at the threshold under ``MISS`` (``candidates="bands"``).
+   ``"prefix"`` loses none at all: the runs of every set are put in one order, rare ones
+   first, and sets are joined by the first runs that a common run can be among
+   (``first_runs``); its work grows with the square of a run's frequency. ``"parts"`` joins
+   part sketches (``part_sketches``): a pair is lost when no part of it is free of
+   differences, which is often so for short or edited texts.
 2. Candidates must pass the Hamming bound on ``bits``-bit parity sketches of the whole
    sets, which loses no pair.
 3. The rest is verified on the sets.
@@ -24,8 +28,10 @@ nothing; repeated record ids count once per set; no pair is dropped by a cap.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,6 +47,11 @@ from .content import Model, Scorer, content_of
 WORD = re.compile(r"[^\W_]+")
 #: Lower edges of the size bands are BAND * 2^(k/2); the band from edge e has e / RUNS_A_PART parts.
 BAND, RUNS_A_PART = 24, 4
+RANK_BITS = 20
+#: Least hashes in a band; the share of pairs just at the threshold that the bands may lose.
+BAND_ROWS, MISS = 5, 1e-6
+#: Bands are joined in so many rounds, each cut before the next, so that not all keys lie on disk at once.
+ROUNDS = 4
 _U = np.uint64
 
 
@@ -127,6 +138,72 @@ def part_sketches(sets: list[np.ndarray], similarity: float, tables: int) -> tup
     return np.concatenate(who), np.concatenate(keys)
 
 
+def n_bands(similarity: float, miss: float = MISS) -> int:
+    return 1 if similarity >= 1 else math.ceil(math.log(miss) / math.log1p(-(similarity**BAND_ROWS)))
+
+
+def band_keys(sets: list[np.ndarray], similarity: float, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, key) of all bands of least hashes, or of each ``turns``-th from ``turn`` on."""
+    bands = np.arange(turn, n_bands(similarity), turns, dtype=_U)
+    t = len(bands)
+    full = [i for i, s in enumerate(sets) if len(s)]
+    numbers = (bands[:, None] * _U(BAND_ROWS) + np.arange(1, BAND_ROWS + 1, dtype=_U)).ravel()
+    factors = (mix(numbers * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32) | np.uint32(1)
+    least = np.zeros((len(full), t * BAND_ROWS), np.uint32)
+    for k, i in enumerate(full):
+        least[k] = np.multiply.outer(sets[i], factors).min(axis=0)
+    rows = least.reshape(len(full), t, BAND_ROWS).astype(_U)
+    h = np.zeros((len(full), t), _U)
+    for r in range(BAND_ROWS):
+        h = mix(h + rows[:, :, r] + _U(1))
+    keys = (h >> _U(32)) | (bands << _U(32))
+    return np.tile(np.array(full, dtype=np.int64), t), keys.T.ravel()
+
+
+def run_ranks(reps: DataFrame) -> np.ndarray:
+    """Logarithmic counts of runs by the upper ``RANK_BITS`` bits of their hash: a table of fixed size.
+
+    It only says which runs come first; candidates are whole under any order.
+    """
+    block = 1 << 12
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.zeros(1 << RANK_BITS, np.uint32)
+        for b in batches:
+            flat = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32)
+            c += np.bincount(flat >> np.uint32(32 - RANK_BITS), minlength=1 << RANK_BITS).astype(np.uint32)
+        rows = [(k, x.tobytes()) for k, x in enumerate(c.reshape(-1, block)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "counts"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.uint32).astype(np.uint64)
+        rows = [(k, np.minimum(np.round(8 * np.log2(x + 1.0)), 255).astype(np.uint8).tobytes()) for k, x in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "ranks"])
+
+    ranks = np.zeros(1 << RANK_BITS, np.uint8)
+    for k, x in reps.select("runs").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(unite, "block int, ranks binary").collect():
+        ranks[k * block : (k + 1) * block] = np.frombuffer(x, np.uint8)
+    return ranks
+
+
+def first_runs(sets: list[np.ndarray], similarity: float, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the set, run, place in the order) of the runs at which a similar set can share its first run.
+
+    Sets at least ``similarity`` alike share s/(1+s) of |A|+|B| runs, so at least s|A|;
+    their first common run has that many runs of A from it on.
+    """
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint32)
+    owner = np.repeat(np.arange(len(sets)), n)
+    order = np.lexsort((flat, ranks[flat >> np.uint32(32 - RANK_BITS)], owner))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    use = n[owner] - place >= similarity * n[owner] - 1e-6
+    return owner[use], flat[order][use], place[use]
+
+
 def bit_sketch(s: np.ndarray, bits: int) -> bytes:
     """Parity of the number of runs at each of ``bits`` places."""
     c = np.bincount((mix(s.astype(_U)) % _U(bits)).astype(np.int64), minlength=bits) & 1
@@ -178,20 +255,43 @@ def main_sets(df: DataFrame, record: str, url: str, body: str, model: Model | No
     return sets.repartition("cls").sortWithinPartitions("cls", "rec").mapInArrow(assign, "rec long, rep long, n int, runs binary")
 
 
-def class_links(sets: DataFrame, similarity: float = 0.5, tables: int = 1, min_hits: int = 1, bits: int = 1024) -> DataFrame:
+def class_links(sets: DataFrame, similarity: float = 0.5, tables: int = 1, min_hits: int = 1, bits: int = 1024, candidates: str = "bands") -> DataFrame:
     """(rep_a, rep_b, n_common, similarity) of classes of equal sets; ``sets`` is the written result of ``main_sets``."""
     reps = sets.where("runs is not null").select(F.col("rep").alias("rec"), "n", "runs")
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(turn: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, 300):
+                s = [np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()]
+                who, keys = part_sketches(s, similarity, tables) if candidates == "parts" else band_keys(s, similarity, turn, ROUNDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(b.column(0).to_numpy()[who])], names=["key", "rec"])
+
+        return run
+
+    def met(turn: int, hits: int) -> DataFrame:
+        keys = reps.select("rec", "runs").mapInArrow(sketch(turn), "key long, rec long")
+        a, b = keys.withColumnRenamed("rec", "rep_a"), keys.withColumnRenamed("rec", "rep_b")
+        pairs = a.join(b, "key").where("rep_a < rep_b").groupBy("rep_a", "rep_b").agg(F.count("*").alias("hits"))
+        return cut(pairs.where(F.col("hits") >= hits).select("rep_a", "rep_b"), "parity-pairs")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 300):
             s = [np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()]
-            who, keys = part_sketches(s, similarity, tables)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(b.column(0).to_numpy()[who])], names=["key", "rec"])
-
-    keys = reps.select("rec", "runs").mapInArrow(sketch, "key long, rec long")
-    a, b = keys.withColumnRenamed("rec", "rep_a"), keys.withColumnRenamed("rec", "rep_b")
-    pairs = a.join(b, "key").where("rep_a < rep_b").groupBy("rep_a", "rep_b").agg(F.count("*").alias("hits"))
-    pairs = cut(pairs.where(F.col("hits") >= min_hits).select("rep_a", "rep_b"), "parity-pairs")
+            who, run, place = first_runs(s, similarity, ranks)
+            n = np.array([len(x) for x in s], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int32)), pa.array(b.column(0).to_numpy()[who]), pa.array(n[who]), pa.array(place.astype(np.int32))], names=["key", "rec", "n", "place"])
+
+    if candidates == "prefix":
+        ranks = run_ranks(reps)
+        keys = reps.select("rec", "runs").mapInArrow(first, "key int, rec long, n int, place int")
+        a, b = (keys.select("key", F.col("rec").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"at_{x}")) for x in "ab")
+        left_over = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+        pairs = a.join(b, "key").where("rep_a < rep_b").where(left_over * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-6)
+        pairs = cut(pairs.select("rep_a", "rep_b").distinct(), "parity-pairs")
+    elif candidates == "parts":
+        pairs = met(0, min_hits)
+    else:
+        pairs = reduce(DataFrame.unionByName, [met(k, 1) for k in range(ROUNDS)]).distinct()
 
     @F.pandas_udf("binary")
     def sketched(x: pd.Series) -> pd.Series:

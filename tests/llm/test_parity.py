@@ -62,3 +62,34 @@ def test_found_query_against_brute_force(spark, sf):
     want = brute(rows)
     got = {tuple(r) for r in entry.queries()["p2_found"](spark, at).collect()}
     assert got <= want and len(got) >= 0.99 * len(want) > 50
+
+
+def test_links_of_edited_sets_of_every_size_are_whole(spark):
+    rng = np.random.default_rng(9)
+    sets = []
+    for n in (1, 2, 3, 5, 9, 24, 33, 67, 135, 270):
+        for k in range(30):
+            pool = rng.choice(2**32, 2 * n, replace=False).astype(np.uint32)
+            common = round(n * (2 / 3 if k % 2 else 0.72)) or 1  # at the threshold, and just above it
+            sets += [np.unique(pool[:n]), np.unique(np.concatenate([pool[:common], pool[n : 2 * n - common]]))]
+    sets += [np.unique(np.concatenate([sets[0], rng.choice(2**32, 40).astype(np.uint32), sets[-1][:k]])) for k in (0, 200)]
+    links = lambda a, b: len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b))
+    want = {(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) if links(a, (b := sets[j])) and len(a) and len(b)}
+    rows = [(i, i, len(x), x.tobytes()) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "rec long, rep long, n int, runs binary").repartition(3)
+    for how in ("bands", "prefix"):
+        got = [(r.rep_a, r.rep_b) for r in parity.class_links(df, candidates=how).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+        assert parity.class_links(df.limit(0), candidates=how).count() == 0
+
+
+def test_share_of_pairs_that_bands_lose():
+    assert (1 - 0.5**parity.BAND_ROWS) ** parity.n_bands(0.5) <= parity.MISS == 1e-6
+    rng = np.random.default_rng(5)
+    for n in (3, 24, 135):
+        agree = []
+        for _ in range(100):
+            pool = rng.choice(2**32, 4 * n // 3, replace=False).astype(np.uint32)  # similarity 0.5
+            who, keys = parity.band_keys([np.unique(pool[:n]), np.unique(pool[n // 3 :])], 0.5)
+            agree.append(len(np.intersect1d(keys[who == 0], keys[who == 1])))
+        assert min(agree) > 0 and abs(np.mean(agree) / parity.n_bands(0.5) - 0.5**parity.BAND_ROWS) < 0.01
