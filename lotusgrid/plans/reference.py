@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import contracts
 from ..functions import geo, text, timebin
 from ..functions import lexicon as L
-from ..operators import evaluate, geocode, panel, roads, weather
+from ..operators import evaluate, geocode, panel, roads, times, weather
 from ..session import shared_dir, spread, table
 from ..sources import manifest, sitemap
 from ..streaming import bins
@@ -43,6 +43,7 @@ def _lit(words: list[str]) -> str:
 
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
+CITY_ZONE = "Asia/Ho_Chi_Minh"
 
 
 # ---------------------------------------------------------------- time bins, weather, panel
@@ -86,8 +87,14 @@ SELECT h3_index, time_bin, round(avg(temp_mean), 6) AS temp_mean, round(coalesce
  round(max(wind_speed_max), 6) AS wind_speed_max, round(avg(humidity_mean), 6) AS humidity_mean, count(*) AS n_rows FROM weather
 WHERE regexp_matches(time_bin, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:00:00\\+07:00$') GROUP BY 1, 2""")
 def q_weather_bins(spark: SparkSession, sf: str) -> DataFrame:
-    """A1 over the weather table's own bins: repeats of a cell and bin are united."""
-    w = table(spark, sf, "weather").where(F.col("time_bin").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:00:00\+07:00$"))
+    """A1 over the weather table's own bins: repeats of a cell and bin are united, in whatever notation the bin is written.
+
+    The SQL knows one notation only, so groups that hold others differ from it.
+    """
+    w = table(spark, sf, "weather").withColumn("t", times.parsed(F.col("time_bin"), F.lit("dmy")))
+    sec = times.instants(F.col("t.wall"), F.col("t.off"), F.lit(CITY_ZONE))
+    wall = timebin.local_wall(F.timestamp_seconds(sec), CITY_ZONE)
+    w = w.withColumn("time_bin", timebin.iso(wall)).where("time_bin is not null")
     return w.groupBy("h3_index", "time_bin").agg(
         r6(F.avg("temp_mean")).alias("temp_mean"), r6(F.coalesce(F.sum("precipitation_sum"), F.lit(0.0))).alias("precipitation_sum"), r6(F.min("visibility_min")).alias("visibility_min"),
         r6(F.max("wind_speed_max")).alias("wind_speed_max"), r6(F.avg("humidity_mean")).alias("humidity_mean"), F.count("*").alias("n_rows"),

@@ -91,3 +91,14 @@ def test_found_query_covers_only_fixed_instants(spark, sf):
     got = entry.queries()["p3_found"](spark, sf).toPandas()
     assert len(got) and not got.duplicated(["tab", "row_id"]).any()
     assert got.utc.str.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ").all()
+
+
+def test_weather_bins_unite_all_notations(spark, tmp_path):
+    from lotusgrid.plans import reference
+
+    same = ["2024-03-01T06:00:00+07:00", "2024-02-29T23:00:00Z", "2024-03-01 08:00:00+09:00", "01/03/2024 06:00", "20240301T060000+0700", "2024-03-01T06:00", "1709247600", "1709247600000"]
+    rows = [(k, "c", b, float(k), 1.0, float(k), float(k), 50.0) for k, b in enumerate([*same, None, "n/a", "2024-03-01", "06:00"])]
+    names = "reading_id long, h3_index string, time_bin string, temp_mean double, precipitation_sum double, visibility_min double, wind_speed_max double, humidity_mean double"
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(f"{tmp_path}/weather.parquet")
+    (r,) = reference.q_weather_bins(spark, str(tmp_path)).collect()
+    assert (r.h3_index, r.time_bin, r.n_rows, r.temp_mean, r.precipitation_sum, r.visibility_min, r.wind_speed_max) == ("c", same[0], 8, 3.5, 8.0, 0.0, 7.0)
