@@ -33,11 +33,11 @@ WHERE abs(a.y - b.y) < 0.004 AND 2 * 6371000 * asin(sqrt(least(1, pow(sin(radian
 
 
 def p1_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which boxes around coarse cells' centres (0.03 degrees wide, stated as rings) contain each finest cell's centre."""
+    """Which L-shaped regions (0.03 degrees wide, without their north-east quarter, around coarse cells' centres) contain each finest cell's centre."""
     cells = clean_cells(spark, sf_dir).where("centroid_lat between 19 and 24 and centroid_lon between 102 and 110")
     cells = cells.groupBy("h3_index", "resolution").agg(F.min("centroid_lat").alias("lat"), F.min("centroid_lon").alias("lon"))
     corner = lambda sx, sy: F.array(F.col("lon") + sx * 0.015, F.col("lat") + sy * 0.015)
-    ring = F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1))
+    ring = F.array(*[corner(*c) for c in ((-1, -1), (1, -1), (1, 0), (0, 0), (0, 1), (-1, 1), (-1, -1))])
     regions = cells.where("resolution = 7").select(F.col("h3_index").alias("region"), ring.alias("ring"))
     points = cells.where("resolution = 9").select("h3_index", "lat", "lon")
     return near.containing_regions(points, regions, "h3_index", "lat", "lon", "region", "ring").select(F.col("id").alias("h3_index"), "region")
@@ -49,6 +49,7 @@ WITH c AS (
   WHERE centroid_lat BETWEEN 19 AND 24 AND centroid_lon BETWEEN 102 AND 110 GROUP BY 1, 2)
 SELECT p.h AS h3_index, r.h AS region FROM c p JOIN c r ON p.resolution = 9 AND r.resolution = 7
  AND p.x BETWEEN r.x + -1 * 0.015 AND r.x + 1 * 0.015 AND p.y BETWEEN r.y + -1 * 0.015 AND r.y + 1 * 0.015
+ AND (p.x <= r.x + 0 * 0.015 OR p.y <= r.y + 0 * 0.015)
 """
 
 

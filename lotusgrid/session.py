@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -41,11 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is read from ``spark.checkpoint.dir``. Only where that is unset (tests in
-    local mode) a temporary folder is made, set in the session and removed at exit.
+    It is read from ``spark.checkpoint.dir``. Only where that is unset and the master is
+    local (tests), a temporary folder is made, set in the session and removed at exit;
+    on a cluster an unset folder is an error, as machines would not see each other's parts.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(?:\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="lotusgrid-")
         _LOCAL_DIRS.append(at)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -58,6 +62,13 @@ def _clean() -> None:
         shutil.rmtree(at, ignore_errors=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; ``drop_cuts`` deletes what is there."""
+    at = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _CUTS.append(at)
+    return at
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -66,8 +77,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     removed as soon as it is done.
     """
     spark = df.sparkSession
-    at = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    _CUTS.append(at)
+    at = shared_path(spark, name)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -92,13 +102,10 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` in enough partitions for every core.
+    """``df`` in enough partitions for every core, twice over.
 
-    A table of few files gives few tasks however large they are; then, and only
-    then, its rows are shuffled by ``key``.
+    A table of few splits gives few tasks however large they are; then, and only then,
+    its rows are shuffled by ``key``. The number of partitions never falls.
     """
-    cores = parallelism(df.sparkSession)
-    parts = df.rdd.getNumPartitions()
-    if parts >= cores and (parts >= 4 * cores or len(df.inputFiles()) >= cores):
-        return df
-    return df.repartition(2 * cores, key)
+    wanted = 2 * parallelism(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)

@@ -55,20 +55,55 @@ def test_antimeridian_high_latitude_and_empty(spark):
     assert pairs(spark, [], 400.0) == set()
 
 
-def test_sweep_gives_all_close_pairs():
+def test_sweep_gives_all_close_pairs_once():
     rng = np.random.default_rng(1)
-    y, x = np.sort(rng.random(300)), rng.random(300)
-    i, j = near.sweep(y, x, 0.05, 0.07)
-    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if y[b] - y[a] <= 0.05 and abs(x[a] - x[b]) <= 0.07}
-    assert set(zip(i.tolist(), j.tolist())) == want
+    owner = np.repeat([0, 1, 2], 100)
+    y, x = np.concatenate([np.sort(rng.random(100)) for _ in range(3)]), rng.random(300)
+    two = owner == 1
+    side = np.where(two, rng.integers(0, 2, 300), 0)
+    got = [(min(p), max(p)) for i, j in near.sweep(owner, side, two, y, x, 0.05, 0.07, 50) for p in zip(i.tolist(), j.tolist())]
+    close = {(a, b) for a in range(300) for b in range(a + 1, 300) if owner[a] == owner[b] and abs(y[b] - y[a]) <= 0.05 and abs(x[a] - x[b]) <= 0.07}
+    want = {(a, b) for a, b in close if not two[a] or side[a] != side[b]}
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) > 100
+    assert set(got) - want <= {(a, b) for a, b in got if abs(abs(x[a] - x[b]) - 0.07) < 1e-6}
+
+
+def test_sweep_of_one_spot_comes_in_pieces():
+    n = 3000
+    sizes = [len(i) for i, _ in near.sweep(np.zeros(n, int), np.zeros(n, int), np.zeros(n, bool), np.zeros(n), np.zeros(n), 0.01, 0.01, 100_000)]
+    assert sum(sizes) == n * (n - 1) // 2 and max(sizes) <= 100_000 + n
 
 
 def test_containing_regions(spark):
     ring = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]]
-    regions = spark.createDataFrame([("a", ring), ("b", [[p[0] + 1, p[1]] for p in ring]), (None, ring)], "region string, ring array<array<double>>")
-    pts = spark.createDataFrame([("in", 0.5, 0.5), ("edge", 0.5, 1.0), ("corner", 0.0, 0.0), ("out", 2.0, 2.0), ("null", None, 0.5)], "region string, lat double, lon double")
-    got = {(r.id, r.region) for r in near.containing_regions(pts, regions, "region", "lat", "lon", "region", "ring").collect()}
-    assert got == {("in", "a"), ("edge", "a"), ("edge", "b"), ("corner", "a")}
+    regions = spark.createDataFrame([("a", ring), ("b", [[p[0] + 1, p[1]] for p in ring]), (None, ring), ("n", None), ("s", ring[:3]), ("h", [[0.0, None], *ring])], "region string, ring array<array<double>>")
+    pts = spark.createDataFrame([("in", 0.5, 0.5), ("edge", 0.5, 1.0), ("corner", 0.0, 0.0), ("out", 2.0, 2.0), ("null", None, 0.5), ("in", 0.5, 0.5)], "region string, lat double, lon double")
+    find = lambda p, r, **k: [(x.id, x.region) for x in near.containing_regions(p, r, "region", "lat", "lon", "region", "ring", **k).collect()]
+    got = find(pts, regions)
+    assert len(got) == len(set(got)) and set(got) == {("in", "a"), ("edge", "a"), ("edge", "b"), ("corner", "a")}
+    assert find(pts.limit(0), regions) == [] == find(pts, regions.limit(0))
+
+
+def test_containing_regions_against_brute_force(spark):
+    rng = random.Random(8)
+    star = lambda cx, cy, r: [[cx + r * (1 if k % 2 else 0.4) * math.cos(k * math.pi / 7), cy + r * (1 if k % 2 else 0.4) * math.sin(k * math.pi / 7)] for k in range(14)]
+    rings = {f"r{k}": star(105 + rng.random(), 20 + rng.random(), 0.02 + rng.random() * 0.4) for k in range(12)}
+    rings = {k: [*r, r[0]] for k, r in rings.items()}
+    pts = {f"p{k}": (20 + rng.random() * (0.01 if k % 3 else 1), 105 + rng.random()) for k in range(600)}
+
+    def holds(r, y, x):
+        odd = False
+        for (ax, ay), (bx, by) in zip(r, r[1:]):
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                odd = not odd
+        return odd
+
+    want = {(p, k) for p, (y, x) in pts.items() for k, r in rings.items() if holds(r, y, x)}
+    a = spark.createDataFrame([(p, y, x) for p, (y, x) in pts.items()], "id string, lat double, lon double")
+    b = spark.createDataFrame(list(rings.items()), "region string, ring array<array<double>>")
+    for block in (20_000, 7):
+        got = [(x.id, x.region) for x in near.containing_regions(a, b, "id", "lat", "lon", "region", "ring", block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
 
 
 @pytest.mark.parametrize("lat", [0.0, 45.0, 89.99])
