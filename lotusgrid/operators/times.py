@@ -1,13 +1,19 @@
 """Timestamps of mixed notations and zones as instants (problem 3).
 
 ``parse`` reads a notation into wall-clock seconds and, where the value has one, its
-offset. Values without offset are wall-clock time of their source's zone. A zone that is not declared is estimated by ``estimate_zones``: local
-times are aligned with ingestion times and with the offsets that other values of the
-source state; each candidate offset history (an IANA zone) is charged a violation for
-every value that would lie after its ingestion or contradict a stated offset, and the
-history of fewest violations wins, of equals the one that leaves the least delay.
-Then wall-clock time is converted; times that the zone skips or passes twice fix no
-instant.
+offset. Values without offset are wall-clock time of their source's zone, which
+``estimate_zones`` gives: local times are aligned with ingestion times and with the
+offsets that other values of the source state; each offset history of the public zone
+tables is charged a violation for every value that would lie after its ingestion or
+contradict a stated offset, and the history of fewest violations wins, of equals the
+one that leaves the least delay. A source may change its history: its span is cut
+where two histories together save violations. A declared zone is evidence: it stands
+unless another history saves a given share of the values. Then wall-clock time is
+converted; times that the zone skips or passes twice fix no instant.
+
+Values are first summed by source, day and quarter of an hour of lead over ingestion,
+which is bounded by the calendar; only these sums meet the histories, so a source may
+hold any share of the rows.
 
 Defined results (null): null or empty values, no time of day, impossible dates or
 times, unknown notations, no zone at all, skipped and doubled wall-clock times.
@@ -18,9 +24,13 @@ from __future__ import annotations
 
 import datetime
 import re
+import zoneinfo
+from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Zone abbreviations and their offsets in hours.
@@ -130,24 +140,144 @@ def utc_text(sec: Column) -> Column:
     return F.concat(date, F.lit("T"), two(rest / 3600), F.lit(":"), two(F.pmod(rest, F.lit(3600)) / 60), F.lit(":"), two(F.pmod(rest, F.lit(60))), F.lit("Z"))
 
 
-def estimate_zones(rows: DataFrame, source: str, wall: str, off: str, ingested: str, candidates: list[str]) -> DataFrame:
-    """(source, zone, violations, n): the candidate offset history that fits each source best.
+#: Years whose values are evidence of a zone.
+FIRST_YEAR, LAST_YEAR = 1990, 2037
+#: Leads over ingestion, in quarters of an hour, that some offset but not every one allows.
+LEAST_LEAD, MOST_LEAD = -56, 60
+
+
+@lru_cache(maxsize=1)
+def histories() -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(zone, days, offsets): each different offset history once, under its first name.
+
+    ``offsets`` are quarters of an hour, each from its day (since 1970, at noon) on.
+    """
+    first, last = datetime.date(FIRST_YEAR, 1, 1).toordinal(), datetime.date(LAST_YEAR, 12, 31).toordinal()
+    noon = lambda d: datetime.datetime.combine(datetime.date.fromordinal(d), datetime.time(12))
+    weeks = [noon(d) for d in range(first, last + 1, 7)]
+    known: dict[tuple, str] = {}
+    for name in sorted(zoneinfo.available_timezones()):
+        if "/" not in name or name.startswith("Etc/"):
+            continue
+        z = zoneinfo.ZoneInfo(name)
+        at = lambda t: round(z.utcoffset(t).total_seconds() / 900)  # noqa: E731, B023
+        seen = list(map(at, weeks))
+        steps = [(first - _DAY_0, seen[0])]
+        for k in np.flatnonzero(np.diff(seen)).tolist():
+            lo, hi = first + 7 * k, first + 7 * k + 7
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                lo, hi = (mid, hi) if at(noon(mid)) == seen[k] else (lo, mid)
+            steps.append((hi - _DAY_0, seen[k + 1]))
+        known.setdefault(tuple(steps), name)
+    return [(name, np.array([s[0] for s in steps]), np.array([s[1] for s in steps])) for steps, name in known.items()]
+
+
+def _same_history(zone: str | None, all_: list[tuple[str, np.ndarray, np.ndarray]], day: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which histories (rows of ``off``, by ``day``) agree with a zone on all days."""
+    try:
+        z = zoneinfo.ZoneInfo(zone or "-")
+    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
+        return np.zeros(len(all_), bool)
+    days, back = np.unique(day, return_inverse=True)
+    own = np.array([round(z.utcoffset(datetime.datetime.combine(datetime.date.fromordinal(int(d) + _DAY_0), datetime.time(12))).total_seconds() / 900) for d in days])[back]
+    return (off == own).all(axis=1)
+
+
+def fit_histories(sums: pd.DataFrame, all_: list[tuple[str, np.ndarray, np.ndarray]], declared: str | None, trust: float, least: int, prefer: list[str]) -> list[tuple[int, int, str, int, int]]:
+    """(first day, day after the last, zone, violations, n) of one source's spans, from its sums (day, stated, q, n, slack)."""
+    s = sums.sort_values("day", kind="stable")
+    day, stated, q, n, slack = (s[c].to_numpy() for c in ("day", "stated", "q", "n", "slack"))
+    months, month = np.unique(day // 30, return_inverse=True)
+    bad, delay = np.zeros((len(all_), len(months))), np.zeros((len(all_), len(months)))
+    off = np.zeros((len(all_), len(day)), np.int16)
+    for h, (_, days, offsets) in enumerate(all_):
+        k = np.searchsorted(days, day, side="right") - 1
+        o = offsets[k]
+        off[h] = o
+        changing = (k > 0) & (days[k] == day) | (np.append(days, 1 << 40)[k + 1] == day + 1)
+        wrong = np.where(stated, q != o, o < q) & ~changing
+        bad[h] = np.bincount(month, np.where(wrong, n, 0), len(months))
+        delay[h] = np.bincount(month, np.where(stated | wrong, 0, slack + o * 900.0 * n), len(months))
+    total, locals_ = np.bincount(month, n, len(months)), np.bincount(month, np.where(stated, 0, n), len(months))
+    bad, delay, total, locals_ = (np.concatenate([np.zeros((*x.shape[:-1], 1)), np.cumsum(x, axis=-1)], axis=-1) for x in (bad, delay, total, locals_))
 
-    ``wall`` and ``off`` come from ``parsed``; ``ingested`` is in epoch seconds. Counts
-    are summed before the shuffle, so a source may hold any share of the rows.
+    def best(a: int, e: int) -> tuple[str, int]:
+        on = (month >= a) & (month < e)
+        b, d = bad[:, e] - bad[:, a], delay[:, e] - delay[:, a]
+        own = _same_history(declared, all_, day[on], off[:, on])
+        if own.any() and b[own].min() - b.min() <= trust * (total[e] - total[a]):
+            return str(declared), int(b[own].min())
+        fits = np.flatnonzero(b == b.min())
+        near = fits[d[fits] <= d[fits].min() + 1800.0 * max(1.0, locals_[e] - locals_[a])]
+        told = [(d[near][same].min(), k, z) for k, z in enumerate(prefer) if (same := _same_history(z, all_, day[on], off[:, on])[near]).any()]
+        if told:
+            return min(told)[2], int(b.min())
+        return min((d[h], all_[h][0]) for h in fits)[1], int(b.min())
+
+    def spans(a: int, e: int) -> list[tuple[int, int]]:
+        whole = (bad[:, e] - bad[:, a]).min()
+        if e - a < 2 or whole < least:
+            return [(a, e)]
+        parts = [(bad[:, c] - bad[:, a]).min() + (bad[:, e] - bad[:, c]).min() for c in range(a + 1, e)]
+        c = int(np.argmin(parts))
+        if whole - parts[c] < max(least, trust * (total[e] - total[a])):
+            return [(a, e)]
+        return spans(a, a + 1 + c) + spans(a + 1 + c, e)
+
+    out, cuts = [], spans(0, len(months))
+    for k, (a, e) in enumerate(cuts):
+        zone, wrong = best(a, e)
+        since = -(1 << 31) if k == 0 else int(months[a]) * 30
+        until = (1 << 31) if k + 1 == len(cuts) else int(months[e]) * 30
+        if out and out[-1][2] == zone:
+            since, wrong = out[-1][0], wrong + out[-1][3]
+            out[-1] = (since, until, zone, wrong, int(total[e] - total[a]) + out[-1][4])
+        else:
+            out.append((since, until, zone, wrong, int(total[e] - total[a])))
+    return out
+
+
+def estimate_zones(rows: DataFrame, source: str, wall: str, off: str, ingested: str, declared: str | None = None, trust: float = 0.2, least: int = 20, prefer: list[str] | None = None) -> DataFrame:
+    """(source, since, until, zone, violations, n): the offset history that fits each source best, by spans of wall-clock days.
+
+    ``wall`` and ``off`` come from ``parsed``; ``ingested`` is in epoch seconds.
+    ``declared`` names the column of a declared zone (the least one of a source counts):
+    it stands unless another history has fewer violations by more than ``trust`` of the
+    values. A span is cut where that saves as large a share, and ``least`` violations.
+    Histories of ``prefer`` win against others that leave less delay by under half an
+    hour a value.
     """
-    zones = F.array(*[F.lit(z) for z in sorted(set(candidates))])
-    r = rows.select(F.col(source).alias("source"), F.col(wall).alias("wall"), F.col(off).alias("off"), F.col(ingested).alias("seen"), F.explode(zones).alias("zone"))
-    r = r.where("source is not null and wall is not null")
-    at = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds("wall"), F.col("zone")))
-    stated = F.col("wall") - F.col("off")
-    there = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(stated), F.col("zone")))
+    known = F.lit(None).cast("string") if declared is None else F.col(declared)
+    r = rows.select(F.col(source).alias("source"), F.col(wall).alias("wall"), F.col(off).alias("off"), F.col(ingested).alias("seen"), known.alias("declared"))
+    r = r.where("source is not null and wall is not null").withColumn("day", F.floor(F.col("wall") / 86400).cast("int"))
+    edge = lambda y, m, d: datetime.date(y, m, d).toordinal() - _DAY_0
+    r = r.where(F.col("day").between(edge(FIRST_YEAR, 1, 2), edge(LAST_YEAR, 12, 30)))
     # An offset of zero may be UTC of a machine: it neither supports nor contradicts a zone.
-    late = F.when(F.col("off").isNull(), (at > F.col("seen")).cast("int")).when(F.col("off") != 0, (there != F.col("wall")).cast("int"))
-    delay = F.when(F.col("off").isNull(), F.greatest(F.col("seen") - at, F.lit(0)))
-    fit = r.groupBy("source", "zone").agg(F.sum(F.coalesce(late, F.lit(0))).alias("violations"), F.sum(delay).alias("delay"), F.count("*").alias("n"))
-    best = Window.partitionBy("source").orderBy("violations", F.col("delay").asc_nulls_last(), "zone")
-    return fit.withColumn("k", F.row_number().over(best)).where("k = 1").select("source", "zone", "violations", "n")
+    lead = F.greatest(F.lit(LEAST_LEAD), F.least(F.lit(MOST_LEAD), F.ceil((F.col("wall") - F.col("seen")) / 900)))
+    r = r.where("off is null and seen is not null or off <> 0 or declared is not null").withColumn("stated", F.col("off").isNotNull())
+    r = r.withColumn("q", F.when(F.col("off").isNull(), lead).otherwise(F.rint(F.col("off") / 900)).cast("int"))
+    silent = F.coalesce(F.col("off") == 0, F.col("seen").isNull())
+    r = r.withColumn("n", F.when(silent, 0).otherwise(1)).withColumn("q", F.when(silent, F.when(F.col("stated"), 0).otherwise(LEAST_LEAD)).otherwise(F.col("q")))
+    sums = r.groupBy("source", "day", "stated", "q").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("stated"), F.coalesce(F.col("seen") - F.col("wall"), F.lit(0)))).alias("slack"), F.min("declared").alias("declared"))
+    return sums.groupBy("source").applyInPandas(_fitter(histories(), trust, least, list(prefer or [])), f"source {dict(r.dtypes)['source']}, since int, until int, zone string, violations long, n long")
+
+
+def _fitter(all_: list, trust: float, least: int, prefer: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def fit(s: pd.DataFrame) -> pd.DataFrame:
+        told = s["declared"].dropna()
+        got = fit_histories(s.fillna({"slack": 0}), all_, min(told) if len(told) else None, trust, least, prefer)
+        cut = [(s["source"].iloc[0], max(a, -(1 << 31)), min(e, (1 << 31) - 1), z, v, n) for a, e, z, v, n in got]
+        return pd.DataFrame(cut, columns=["source", "since", "until", "zone", "violations", "n"])
+
+    return fit
+
+
+def with_zones(rows: DataFrame, zones: DataFrame, source: str, wall: str) -> DataFrame:
+    """Rows with the ``zone`` of their source at their wall-clock day."""
+    z = zones.select(F.col("source").alias("_source"), "since", "until", "zone")
+    day = F.floor(F.col(wall) / 86400)
+    return rows.join(z, (F.col(source) == F.col("_source")) & (day >= F.col("since")) & (day < F.col("until")), "left").drop("_source", "since", "until")
 
 
 def instants(wall: Column, off: Column, zone: Column) -> Column:

@@ -70,19 +70,53 @@ def test_zone_instant_against_brute_force(spark):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def test_zone_estimate(spark):
+def _logged(source, zone, first, n, days, offs=()):
+    """Values of a source: written shortly before they were fetched, some with their offset."""
     rows = []
-    for source, zone in (("a", "America/New_York"), ("b", "Asia/Ho_Chi_Minh"), ("c", "Australia/Sydney")):
-        for k in range(60):
-            seen = datetime.datetime(2021, 1, 1, tzinfo=ZoneInfo("UTC")) + datetime.timedelta(days=6 * k, minutes=37 * k)
-            wall = (seen - datetime.timedelta(minutes=5 + k)).astimezone(ZoneInfo(zone)).replace(tzinfo=None)
-            rows.append((source, int((wall - datetime.datetime(1970, 1, 1)).total_seconds()), None, int(seen.timestamp()), "x"))
-    rows += [(None, 1, None, 2, "x"), ("a", None, None, 2, "x"), ("z", 5, None, None, "x")]
-    df = spark.createDataFrame(rows, "source string, wall long, off int, seen long, zone string")
-    zones = ["America/New_York", "Asia/Ho_Chi_Minh", "Australia/Sydney", "Europe/London", "America/Los_Angeles"]
-    got = {r.source: r.zone for r in times.estimate_zones(df, "source", "wall", "off", "seen", zones).collect()}
-    assert {k: got[k] for k in "abc"} == {"a": "America/New_York", "b": "Asia/Ho_Chi_Minh", "c": "Australia/Sydney"}
-    assert times.estimate_zones(df.limit(0), "source", "wall", "off", "seen", zones).count() == 0
+    for k in range(n):
+        seen = datetime.datetime(*first, tzinfo=ZoneInfo("UTC")) + datetime.timedelta(days=days * k, minutes=37 * k)
+        local = (seen - datetime.timedelta(minutes=5 + k)).astimezone(ZoneInfo(zone))
+        off = int(local.utcoffset().total_seconds()) if k in offs else None
+        rows.append((source, int((local.replace(tzinfo=None) - datetime.datetime(1970, 1, 1)).total_seconds()), off, int(seen.timestamp()), "x"))
+    return rows
+
+
+LOG = "source string, wall long, off int, seen long, zone string"
+
+
+def _offset(zone, day):
+    return ZoneInfo(zone).utcoffset(datetime.datetime(1970, 1, 1) + datetime.timedelta(days=day, hours=12))
+
+
+def test_zone_estimate_among_all_histories(spark):
+    zones = {"a": "America/New_York", "b": "Asia/Ho_Chi_Minh", "c": "Australia/Sydney", "d": "Europe/London", "e": "Asia/Kathmandu"}
+    rows = [r for s, z in zones.items() for r in _logged(s, z, (2021, 1, 1), 120, 3)]
+    rows += [(None, 1, None, 2, "x"), ("a", None, None, 2, "x"), ("z", 5, None, None, "x"), ("y", 1_600_000_000, None, None, "x")]
+    df = spark.createDataFrame(rows, LOG)
+    got = {r.source: r for r in times.estimate_zones(df, "source", "wall", "off", "seen").collect()}
+    assert set(got) == set(zones)
+    for s, z in zones.items():
+        assert got[s].violations == 0 and all(_offset(got[s].zone, d) == _offset(z, d) for d in range(18640, 18990, 10)), (s, got[s].zone)
+    assert times.estimate_zones(df.limit(0), "source", "wall", "off", "seen").count() == 0
+
+
+def test_declaration_is_evidence_and_a_history_may_change(spark):
+    rows = [(*r[:4], "Asia/Ho_Chi_Minh") for r in _logged("wrong", "America/New_York", (2021, 1, 1), 100, 4, range(0, 100, 3))]
+    rows += [(*r[:4], "Europe/Paris") for r in _logged("right", "Europe/Paris", (2021, 1, 1), 100, 4)]
+    rows += [(*r[:4], "No/Where") for r in _logged("odd", "Asia/Tokyo", (2021, 1, 1), 100, 4, range(0, 100, 5))]
+    rows += [(*r[:4], None) for r in _logged("moved", "Asia/Ho_Chi_Minh", (2020, 1, 1), 150, 3, range(0, 150, 2)) + _logged("moved", "Australia/Sydney", (2021, 6, 1), 150, 3, range(0, 150, 2))]
+    zones = times.estimate_zones(spark.createDataFrame(rows, LOG), "source", "wall", "off", "seen", "zone")
+    got = {}
+    for r in zones.orderBy("source", "since").collect():
+        got.setdefault(r.source, []).append(r)
+    assert [r.zone for r in got["right"]] == ["Europe/Paris"] and got["right"][0].violations == 0
+    assert len(got["wrong"]) == 1 and _offset(got["wrong"][0].zone, 18800) == _offset("America/New_York", 18800)
+    assert len(got["odd"]) == 1 and _offset(got["odd"][0].zone, 18800) == _offset("Asia/Tokyo", 18800)
+    first, second = got["moved"]
+    assert first.until == second.since and abs(first.until - 18779) <= 60
+    assert _offset(first.zone, 18500) == _offset("Asia/Ho_Chi_Minh", 18500) and all(_offset(second.zone, d) == _offset("Australia/Sydney", d) for d in (18800, 19000))
+    joined = times.with_zones(spark.createDataFrame([("moved", 18500 * 86400), ("moved", 18900 * 86400), ("none", 0), (None, None)], "source string, wall long"), zones, "source", "wall").collect()
+    assert sorted((r.wall or -1, r.zone) for r in joined if r.zone) == [(18500 * 86400, first.zone), (18900 * 86400, second.zone)] and len(joined) == 4
 
 
 def test_found_query_covers_only_fixed_instants(spark, sf):
