@@ -206,7 +206,7 @@ def fit_histories(sums: pd.DataFrame, all_: list[tuple[str, np.ndarray, np.ndarr
         on = (month >= a) & (month < e)
         b, d = bad[:, e] - bad[:, a], delay[:, e] - delay[:, a]
         own = _same_history(declared, all_, day[on], off[:, on])
-        if own.any() and b[own].min() - b.min() <= trust * (total[e] - total[a]):
+        if own.any() and b[own].min() - b.min() <= max(3, trust * (total[e] - total[a])):
             return str(declared), int(b[own].min())
         fits = np.flatnonzero(b == b.min())
         near = fits[d[fits] <= d[fits].min() + 1800.0 * max(1.0, locals_[e] - locals_[a])]
@@ -244,7 +244,7 @@ def estimate_zones(rows: DataFrame, source: str, wall: str, off: str, ingested:
     ``wall`` and ``off`` come from ``parsed``; ``ingested`` is in epoch seconds.
     ``declared`` names the column of a declared zone (the least one of a source counts):
     it stands unless another history has fewer violations by more than ``trust`` of the
-    values. A span is cut where that saves as large a share, and ``least`` violations.
+    values and more than three. A span is cut where that saves as large a share, and ``least`` violations.
     Histories of ``prefer`` win against others that leave less delay by under half an
     hour a value.
     """
