@@ -5,25 +5,32 @@ XOR of the hashes of a set is its parity sketch: runs that both sets hold cancel
 the Hamming distance of two sketches never exceeds the symmetric difference of the
 sets. A similarity of at least s bounds that difference by (|A|+|B|)(1-s)/(1+s).
 
-1. Candidates agree in a band of ``BAND_ROWS`` least hashes. A band agrees with
-   probability s^BAND_ROWS whatever the sizes of the sets, so ``n_bands`` bands keep the
-   computed share of lost pairs at the threshold under ``MISS`` (``candidates="bands"``).
-   ``"prefix"`` loses none at all: the runs of every set are put in one order, rare ones
-   first, and sets are joined by the first runs that a common run can be among
-   (``first_runs``); its work grows with the square of a run's frequency. ``"parts"`` joins
-   part sketches (``part_sketches``): a pair is lost when no part of it is free of
-   differences, which is often so for short or edited texts.
+1. Candidates by pigeonhole on part sketches. A set is first brought to a sample of
+   fixed size: at each place the run that is least under the place's own hash, so two
+   sets agree at a place with probability equal to their similarity, whatever their
+   sizes, and one cut into parts serves every size band. The parity sketch of the
+   sample is cut into parts of ``PART`` places, and sets that agree in a part - the XOR
+   of its hashes - are candidates. With fewer differing places than parts one part must
+   be free of differences; beyond that a part is free with probability s^PART, and
+   ``n_parts`` takes so many parts that the computed share of pairs lost just at the
+   threshold is under ``MISS``. ``candidates="prefix"`` loses none at all: the runs of
+   every set are put in one order, rare ones first, and sets are joined by the first
+   runs that a common run can be among (``first_runs``); its work grows with the square
+   of a run's frequency.
 2. Candidates must pass the Hamming bound on ``bits``-bit parity sketches of the whole
    sets, which loses no pair.
 3. The rest is verified on the sets.
 
-Exact copies (equal sets) form a class; classes are compared by one representative,
-so a group of copies costs one record however large it is. ``near_pairs`` expands
-classes to pairs of records, ``near_classes`` gives each record its class and number
-of links between different sets.
+Exact copies (equal sets, by a 128-bit hash) form a class; classes are compared by one
+set each, so a group of copies costs one set however large it is. ``near_pairs``
+expands classes to pairs of records, ``near_classes`` gives each record its class and
+number of links to other classes. Sets are made once and travel apart from the rows
+(record, class), which are only counted and joined; joins on a hot class are left to
+adaptive skew handling, which can split them, as the class side is one row.
 
 Defined results: records without text (null, empty, fewer than three words) match
-nothing; repeated record ids count once per set; no pair is dropped by a cap.
+nothing; a repeated record id counts once per different set and never pairs with itself;
+no pair is dropped by a cap.
 """
 
 from __future__ import annotations
@@ -39,18 +46,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut, spread
 from .batches import slices
+from .canon import canon
 from .content import Model, Scorer, content_of
 
 WORD = re.compile(r"[^\W_]+")
-#: Lower edges of the size bands are BAND * 2^(k/2); the band from edge e has e / RUNS_A_PART parts.
-BAND, RUNS_A_PART = 24, 4
 RANK_BITS = 20
-#: Least hashes in a band; the share of pairs just at the threshold that the bands may lose.
-BAND_ROWS, MISS = 5, 1e-6
-#: Bands are joined in so many rounds, each cut before the next, so that not all keys lie on disk at once.
+#: Sampled places in a part; the share of pairs just at the threshold that the parts may lose.
+PART, MISS = 5, 1e-6
+#: Parts are joined in so many rounds, each cut before the next, so that not all keys lie on disk at once.
 ROUNDS = 4
 _U = np.uint64
 
@@ -99,64 +106,29 @@ def runs(texts: list[str], words: Words, size: int = 3) -> list[np.ndarray]:
     return out
 
 
-def band(n: np.ndarray) -> np.ndarray:
-    return np.maximum(0, np.floor(2 * np.log2(np.maximum(n, 1) / BAND))).astype(np.int64)
+def n_parts(similarity: float, miss: float = MISS) -> int:
+    return 1 if similarity >= 1 else math.ceil(math.log(miss) / math.log1p(-(similarity**PART)))
 
 
-def part_sketches(sets: list[np.ndarray], similarity: float, tables: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, key) of all part sketches.
-
-    A pair is found in the band of its smaller set, so a set takes part in its own
-    band and in lower ones as far as a smaller partner can be similar to it.
-    """
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    flat = np.concatenate(sets).astype(_U) if len(sets) else np.zeros(0, _U)
-    owner = np.repeat(np.arange(len(sets)), n)
-    own = band(n)
-    least = band(np.ceil(n * similarity))
-    who, keys = [], []
-    for b in range(int(least.min(initial=0)), int(own.max(initial=0)) + 1):
-        on = (own >= b) & (least <= b) & (n > 0)
-        use = on[owner]
-        if not use.any():
-            continue
-        parts = max(2, round(BAND * 2 ** (b / 2) / RUNS_A_PART))
-        f, o = flat[use], owner[use]
-        for t in range(tables):
-            h = mix(f + _U(((b << 8) + t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            p = (h % _U(parts)).astype(np.int64)
-            g = o * parts + p
-            order = np.argsort(g, kind="stable")
-            gs = g[order]
-            first = np.flatnonzero(np.concatenate([[True], gs[1:] != gs[:-1]]))
-            x = np.bitwise_xor.reduceat(mix(h[order] + _U(77)), first)
-            g = gs[first]
-            who.append(g // parts)
-            keys.append(mix(x + mix(((g % parts) + (((b << 8) + t) << 32)).astype(_U))))
-    if not who:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    return np.concatenate(who), np.concatenate(keys)
-
-
-def n_bands(similarity: float, miss: float = MISS) -> int:
-    return 1 if similarity >= 1 else math.ceil(math.log(miss) / math.log1p(-(similarity**BAND_ROWS)))
-
-
-def band_keys(sets: list[np.ndarray], similarity: float, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, key) of all bands of least hashes, or of each ``turns``-th from ``turn`` on."""
-    bands = np.arange(turn, n_bands(similarity), turns, dtype=_U)
-    t = len(bands)
+def part_sketches(sets: list[np.ndarray], similarity: float, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, key) of all parts of the sampled sets' parity sketches, or of each ``turns``-th part from ``turn`` on."""
+    parts = np.arange(turn, n_parts(similarity), turns, dtype=_U)
+    t = len(parts)
     full = [i for i, s in enumerate(sets) if len(s)]
-    numbers = (bands[:, None] * _U(BAND_ROWS) + np.arange(1, BAND_ROWS + 1, dtype=_U)).ravel()
-    factors = (mix(numbers * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32) | np.uint32(1)
-    least = np.zeros((len(full), t * BAND_ROWS), np.uint32)
+    places = (parts[:, None] * _U(PART) + np.arange(1, PART + 1, dtype=_U)).ravel()
+    factors = (mix(places * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32) | np.uint32(1)
+    least = np.zeros((len(full), t * PART), np.uint32)
     for k, i in enumerate(full):
-        least[k] = np.multiply.outer(sets[i], factors).min(axis=0)
-    rows = least.reshape(len(full), t, BAND_ROWS).astype(_U)
-    h = np.zeros((len(full), t), _U)
-    for r in range(BAND_ROWS):
-        h = mix(h + rows[:, :, r] + _U(1))
-    keys = (h >> _U(32)) | (bands << _U(32))
+        s = sets[i]
+        best = least[k]
+        np.multiply(s[0], factors, out=best)
+        for lo in range(0, len(s), 64):  # pieces that stay in the cache
+            np.minimum(best, np.multiply.outer(s[lo : lo + 64], factors).min(axis=0), out=best)
+    sample = least.reshape(len(full), t, PART).astype(_U)
+    key = np.zeros((len(full), t), _U)
+    for r in range(PART):
+        key ^= mix(sample[:, :, r] + (_U(r + 1) << _U(32)))
+    keys = mix(key + mix(parts + _U(1)))
     return np.tile(np.array(full, dtype=np.int64), t), keys.T.ravel()
 
 
@@ -210,96 +182,87 @@ def bit_sketch(s: np.ndarray, bits: int) -> bytes:
     return np.packbits(c.astype(np.uint8)).tobytes()
 
 
-def main_sets(df: DataFrame, record: str, url: str, body: str, model: Model | None = None) -> DataFrame:
-    """(rec, rep, n, runs) of the records that have main text.
+def main_sets(df: DataFrame, record: str, url: str | None, body: str, size: int = 3, model: Model | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rec, c1, c2) of the records that have main text, and (c1, c2, n, runs), one row for each class (c1, c2) of equal sets.
 
-    ``rep`` is the least record with an equal set; ``runs`` is there on one row of each
-    class. Only sets travel in the one shuffle, and of copies within a task only the
-    first set: a large group of copies is a stream of (record, class) rows.
+    Without ``url`` the whole text is the main text. Of copies within a task only the
+    first carries its set.
     """
     m = model or Model.load()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, words, seen = Scorer(m), Words(), set()
         for b in slices(batches):
-            got = content_of(b.column(1).to_pylist(), b.column(2).to_pylist(), m, 0.5, scorer)
-            sets = runs(["\n".join(s for _, s in lines) for lines in got], words)
-            rows = []
+            if url is None:
+                texts = [canon(x) or "" for x in b.column(2).to_pylist()]
+            else:
+                texts = ["\n".join(s for _, s in lines) for lines in content_of(b.column(1).to_pylist(), b.column(2).to_pylist(), m, 0.5, scorer)]
+            sets = runs(texts, words, size)
+            ids, names, sizes, held = [], [], [], []
             for r, s in zip(b.column(0).to_pylist(), sets):
                 if r is None or not len(s):
                     continue
-                c = int(np.bitwise_xor.reduce(mix(s.astype(_U)))) ^ len(s)
-                rows.append((r, c, len(s), None if c in seen else s.tobytes()))
+                x = s.tobytes()
+                c = xxhash.xxh3_128_digest(x)
+                ids.append(r)
+                names.append(c)
+                sizes.append(len(s))
+                held.append(None if c in seen else x)
                 seen.add(c)
             if len(seen) > 200_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in rows], pa.int64()), pa.array(np.array([x[1] for x in rows], dtype=_U).view(np.int64)), pa.array([x[2] for x in rows], pa.int32()), pa.array([x[3] for x in rows], pa.binary())],
-                names=["rec", "cls", "n", "runs"],
-            )
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, rep, last, told = None, None, None, False
-        for b in batches:
-            out: list[tuple] = []
-            for r, c, n, s in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if c != cls:
-                    cls, rep, last, told = c, r, None, False
-                if r == last and (s is None or told):
-                    continue
-                out.append((r, rep, n, None if told else s))
-                last, told = r, told or s is not None
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary())], names=["rec", "rep", "n", "runs"])
+            c = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(sizes, pa.int32()), pa.array(held, pa.binary())], names=["rec", "c1", "c2", "n", "runs"])
 
-    sets = spread(df.select(record, url, body), record).mapInArrow(read, "rec long, cls long, n int, runs binary")
-    return sets.repartition("cls").sortWithinPartitions("cls", "rec").mapInArrow(assign, "rec long, rep long, n int, runs binary")
+    rows = df.select(F.col(record).alias("rec"), F.lit(None).cast("string").alias("url") if url is None else F.col(url).alias("url"), F.col(body).alias("body"))
+    kind = to_arrow_type(rows.schema["rec"].dataType)
+    rows = cut(spread(rows, "rec").mapInArrow(read, f"rec {dict(rows.dtypes)['rec']}, c1 long, c2 long, n int, runs binary"), "parity-rows")
+    with_set = rows.where("runs is not null")
+    owner = with_set.groupBy("c1", "c2").agg(F.min("rec").alias("rec"))
+    sets = with_set.join(owner, ["c1", "c2", "rec"], "left_semi")
+    return rows.select("rec", "c1", "c2"), cut(sets.select("c1", "c2", "n", "runs"), "parity-sets")
 
 
-def class_links(sets: DataFrame, similarity: float = 0.5, tables: int = 1, min_hits: int = 1, bits: int = 1024, candidates: str = "bands") -> DataFrame:
-    """(rep_a, rep_b, n_common, similarity) of classes of equal sets; ``sets`` is the written result of ``main_sets``."""
-    reps = sets.where("runs is not null").select(F.col("rep").alias("rec"), "n", "runs")
+def class_links(sets: DataFrame, similarity: float = 0.5, bits: int = 1024, candidates: str = "parts") -> DataFrame:
+    """(c1_a, c2_a, c1_b, c2_b, n_common, similarity) of classes of equal sets, each pair once; ``sets`` is the second result of ``main_sets``."""
 
     def sketch(turn: int) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 300):
                 s = [np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()]
-                who, keys = part_sketches(s, similarity, tables) if candidates == "parts" else band_keys(s, similarity, turn, ROUNDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(b.column(0).to_numpy()[who])], names=["key", "rec"])
+                who, keys = part_sketches(s, similarity, turn, ROUNDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(b.column(0).to_numpy()[who])], names=["key", "c"])
 
         return run
 
-    def met(turn: int, hits: int) -> DataFrame:
-        keys = reps.select("rec", "runs").mapInArrow(sketch(turn), "key long, rec long")
-        a, b = keys.withColumnRenamed("rec", "rep_a"), keys.withColumnRenamed("rec", "rep_b")
-        pairs = a.join(b, "key").where("rep_a < rep_b").groupBy("rep_a", "rep_b").agg(F.count("*").alias("hits"))
-        return cut(pairs.where(F.col("hits") >= hits).select("rep_a", "rep_b"), "parity-pairs")
+    def met(turn: int) -> DataFrame:
+        keys = sets.select("c1", "runs").mapInArrow(sketch(turn), "key long, c long")
+        a, b = keys.withColumnRenamed("c", "a"), keys.withColumnRenamed("c", "b")
+        return cut(a.join(b, "key").where("a < b").select("a", "b").distinct(), "parity-pairs")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 300):
             s = [np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()]
             who, run, place = first_runs(s, similarity, ranks)
             n = np.array([len(x) for x in s], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int32)), pa.array(b.column(0).to_numpy()[who]), pa.array(n[who]), pa.array(place.astype(np.int32))], names=["key", "rec", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int32)), pa.array(b.column(0).to_numpy()[who]), pa.array(n[who]), pa.array(place.astype(np.int32))], names=["key", "c", "n", "place"])
 
     if candidates == "prefix":
-        ranks = run_ranks(reps)
-        keys = reps.select("rec", "runs").mapInArrow(first, "key int, rec long, n int, place int")
-        a, b = (keys.select("key", F.col("rec").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"at_{x}")) for x in "ab")
+        ranks = run_ranks(sets)
+        keys = sets.select("c1", "runs").mapInArrow(first, "key int, c long, n int, place int")
+        a, b = (keys.select("key", F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"at_{x}")) for x in "ab")
         left_over = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-        pairs = a.join(b, "key").where("rep_a < rep_b").where(left_over * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-6)
-        pairs = cut(pairs.select("rep_a", "rep_b").distinct(), "parity-pairs")
-    elif candidates == "parts":
-        pairs = met(0, min_hits)
+        pairs = a.join(b, "key").where("a < b").where(left_over * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-6)
+        pairs = cut(pairs.select("a", "b").distinct(), "parity-pairs")
     else:
-        pairs = reduce(DataFrame.unionByName, [met(k, 1) for k in range(ROUNDS)]).distinct()
+        pairs = reduce(DataFrame.unionByName, [met(k) for k in range(ROUNDS)]).distinct()
 
     @F.pandas_udf("binary")
     def sketched(x: pd.Series) -> pd.Series:
         return x.map(lambda r: bit_sketch(np.frombuffer(r, np.uint32), bits))
 
-    small = reps.select("rec", "n", sketched("runs").alias("sketch"))
-    left = small.select(F.col("rec").alias("rep_a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    right = small.select(F.col("rec").alias("rep_b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    small = sets.select(F.col("c1").alias("c"), "n", sketched("runs").alias("sketch"))
+    left, right = (small.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
 
     @F.pandas_udf("int")
     def hamming(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -309,38 +272,42 @@ def class_links(sets: DataFrame, similarity: float = 0.5, tables: int = 1, min_h
         return pd.Series(np.bitwise_count(p.reshape(len(x), -1)).sum(axis=1).astype(np.int32))
 
     bound = (1 - similarity) / (1 + similarity)
-    near = pairs.join(left, "rep_a").join(right, "rep_b").withColumn("d", hamming("s_a", "s_b")).where(F.col("d") <= (F.col("n_a") + F.col("n_b")) * F.lit(bound))
-    near = cut(near.select("rep_a", "rep_b"), "parity-near")
-    left = reps.select(F.col("rec").alias("rep_a"), F.col("runs").alias("r_a"))
-    right = reps.select(F.col("rec").alias("rep_b"), F.col("runs").alias("r_b"))
+    sized = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity))
+    near = sized.withColumn("d", hamming("s_a", "s_b")).where(F.col("d") <= (F.col("n_a") + F.col("n_b")) * F.lit(bound))
+    near = cut(near.select("a", "b").distinct(), "parity-near")
+    left, right = (sets.select(F.col("c1").alias(x), F.col("c1").alias(f"c1_{x}"), F.col("c2").alias(f"c2_{x}"), F.col("runs").alias(f"r_{x}")) for x in "ab")
 
     @F.pandas_udf("int")
     def common(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([len(np.intersect1d(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), assume_unique=True)) for p, q in zip(x, y)], dtype="int32")
 
-    both = near.join(left, "rep_a").join(right, "rep_b").withColumn("n_common", common("r_a", "r_b"))
+    both = near.join(left, "a").join(right, "b").withColumn("n_common", common("r_a", "r_b"))
     both = both.withColumn("similarity", F.col("n_common") / (F.octet_length("r_a") / 4 + F.octet_length("r_b") / 4 - F.col("n_common")))
-    return both.where(F.col("similarity") >= similarity).select("rep_a", "rep_b", "n_common", "similarity")
-
-
-def near_pairs(df: DataFrame, record: str = "record_id", url: str = "url", body: str = "body", similarity: float = 0.5, **how) -> DataFrame:
-    """All pairs (record_a < record_b) at least ``similarity`` alike, copies expanded; the work of the last join is the result's size."""
-    sets = cut(main_sets(df, record, url, body), "parity-main")
-    links = cut(class_links(sets, similarity, **how).select("rep_a", "rep_b"), "parity-links")
-    mem = sets.select("rec", "rep")
-    a = mem.select(F.col("rec").alias("x"), F.col("rep").alias("rep_a"))
-    b = mem.select(F.col("rec").alias("y"), F.col("rep").alias("rep_b"))
-    across = links.join(a, "rep_a").join(b, "rep_b")
-    copied = mem.where("rec <> rep").select(F.col("rep").alias("rep_a")).distinct()
-    inside = a.join(copied, "rep_a", "left_semi").join(b.withColumnRenamed("rep_b", "rep_a"), "rep_a").where("x < y")
+    both = both.where(F.col("similarity") >= similarity).select("c1_a", "c2_a", "c1_b", "c2_b", "n_common", "similarity")
+    return both.dropDuplicates(["c1_a", "c2_a", "c1_b", "c2_b"])
+
+
+def near_pairs(df: DataFrame, record: str = "record_id", url: str | None = "url", body: str = "body", similarity: float = 0.5, size: int = 3, **how) -> DataFrame:
+    """All pairs (record_a < record_b) at least ``similarity`` alike, each once, copies expanded; the work of the last join is the result's size."""
+    rows, sets = main_sets(df, record, url, body, size)
+    links = cut(class_links(sets, similarity, **how).select("c1_a", "c2_a", "c1_b", "c2_b"), "parity-links")
+    mem = rows.distinct()
+    a = mem.select(F.col("rec").alias("x"), F.col("c1").alias("c1_a"), F.col("c2").alias("c2_a"))
+    b = mem.select(F.col("rec").alias("y"), F.col("c1").alias("c1_b"), F.col("c2").alias("c2_b"))
+    across = links.join(a, ["c1_a", "c2_a"]).join(b, ["c1_b", "c2_b"]).where("x <> y")
+    copied = mem.groupBy("c1", "c2").agg(F.count("*").alias("k")).where("k > 1").select("c1", "c2")
+    inside = mem.join(copied, ["c1", "c2"], "left_semi")
+    inside = inside.withColumnRenamed("rec", "x").join(inside.withColumnRenamed("rec", "y"), ["c1", "c2"]).where("x < y")
     pairs = across.select("x", "y").unionByName(inside.select("x", "y"))
-    return pairs.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b"))
+    return pairs.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b")).distinct()
 
 
-def near_classes(df: DataFrame, record: str = "record_id", url: str = "url", body: str = "body", similarity: float = 0.5, **how) -> DataFrame:
-    """(record, class_id, n_links): class of equal main text and its number of links to other classes."""
-    sets = cut(main_sets(df, record, url, body), "parity-main")
+def near_classes(df: DataFrame, record: str = "record_id", url: str | None = "url", body: str = "body", similarity: float = 0.5, size: int = 3, **how) -> DataFrame:
+    """(record, class_id, n_links): class of equal main text, named by its least record, and its number of links to other classes."""
+    rows, sets = main_sets(df, record, url, body, size)
     links = class_links(sets, similarity, **how)
-    ends = links.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    out = sets.select("rec", "rep").join(ends, "rep", "left")
-    return out.select(F.col("rec").alias(record), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    ends = F.explode(F.array(F.struct(F.col("c1_a").alias("c1"), F.col("c2_a").alias("c2")), F.struct(F.col("c1_b").alias("c1"), F.col("c2_b").alias("c2"))))
+    ends = links.select(ends.alias("e")).groupBy("e.c1", "e.c2").agg(F.count("*").alias("n_links"))
+    classes = rows.groupBy("c1", "c2").agg(F.min("rec").alias("class_id")).join(ends, ["c1", "c2"], "left")
+    out = rows.distinct().join(classes, ["c1", "c2"])
+    return out.select(F.col("rec").alias(record), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -18,6 +18,11 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity.near_classes(table(spark, sf_dir, "manifest"))
 
 
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over whole texts, with runs of five words and similarity 0.8: each document's class and the class's links."""
+    return parity.near_classes(table(spark, sf_dir, "documents"), "doc_id", None, "text", 0.8, 5)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_lines(table(spark, sf_dir, "manifest"))
 
@@ -55,7 +60,7 @@ def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_classes, p4_found, p5_found, p6_found, p7_found, p7_spans, p8_mix, p8_shares, p9_found, p9_masked)}
+    return {f.__name__: f for f in (p2_found, p2_classes, p2_texts, p4_found, p5_found, p6_found, p7_found, p7_spans, p8_mix, p8_shares, p9_found, p9_masked)}
 
 
 def form_sql(t: str) -> str:
@@ -81,10 +86,18 @@ def oracle_sql() -> dict[str, str]:
          ON a.c = b.c AND a.t <> b.t AND a.record_id < b.record_id"""
         for f in ("title", "body")
     )
+    p2 = f"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower({form_sql("text")}), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+     s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM w WHERE len(w) >= 5),
+     c AS (SELECT md5(array_to_string(g, '|')) AS h, min(doc_id) AS class_id, any_value(g) AS g FROM s GROUP BY 1),
+     e AS (SELECT h, len(g) AS n, unnest(g) AS x FROM c),
+     j AS (SELECT a.h AS a, b.h AS b FROM e a JOIN e b ON a.x = b.x AND a.h < b.h GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*))),
+     l AS (SELECT h, count(*) AS n FROM (SELECT a AS h FROM j UNION ALL SELECT b FROM j) GROUP BY 1)
+    SELECT doc_id, class_id, coalesce(l.n, 0) AS n_links FROM s JOIN c ON c.h = md5(array_to_string(s.g, '|')) LEFT JOIN l ON l.h = c.h"""
     words = "regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}]+')"
     grams = "unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')))"
     p7 = f"""
     WITH d AS (SELECT DISTINCT doc_id, {grams} AS g FROM (SELECT doc_id, {words} AS w FROM documents)),
      i AS (SELECT DISTINCT item_id, {grams} AS g FROM (SELECT item_id, {words} AS w FROM eval_items))
     SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)"""
-    return {"p4_found": p4, "p6_found": p6, "p7_found": p7}
+    return {"p2_texts": p2, "p4_found": p4, "p6_found": p6, "p7_found": p7}

@@ -13,13 +13,15 @@ def test_hamming_distance_never_exceeds_the_difference(common, a, b):
     assert int(np.bitwise_count(p ^ q).sum()) <= len(set(x.tolist()) ^ set(y.tolist()))
 
 
-def test_equal_parts_have_equal_keys():
+def test_equal_sets_have_equal_parts():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 2**32, 300, dtype=np.uint32))
     b = np.unique(np.concatenate([a[5:], rng.integers(0, 2**32, 5, dtype=np.uint32)]))
-    who, keys = parity.part_sketches([a, b, a], 0.5, 2)
-    of = [set(keys[who == k].tolist()) for k in range(3)]
-    assert of[0] == of[2] and len(of[0] & of[1]) > 50
+    who, keys = parity.part_sketches([a, b, a, a[:0]], 0.5)
+    of = [set(keys[who == k].tolist()) for k in range(4)]
+    assert of[0] == of[2] and len(of[0] & of[1]) > 300 and not of[3] and len(of[0]) == parity.n_parts(0.5)
+    parts = [parity.part_sketches([a, b], 0.5, k, 3) for k in range(3)]
+    assert set(np.concatenate([k[w == 1] for w, k in parts]).tolist()) == of[1]
 
 
 def brute(rows, least=0.5):
@@ -64,32 +66,43 @@ def test_found_query_against_brute_force(spark, sf):
     assert got <= want and len(got) >= 0.99 * len(want) > 50
 
 
+def test_record_ids_with_different_bodies(spark):
+    rng = np.random.default_rng(5)
+    x, y = article(rng), article(rng)
+    rows = [(1, "u", "\n".join(x)), (1, "u", "\n".join(x[1:])), (2, "u", "\n".join(x)), (1, "u", "\n".join(y)), (3, "u", "\n".join(y)), (1, "u", "\n".join(x))]
+    df = spark.createDataFrame(rows, "record_id long, url string, body string").repartition(4)
+    assert sorted(tuple(r) for r in parity.near_pairs(df).collect()) == [(1, 2), (1, 3)]
+    named = df.selectExpr("'r' || record_id as record_id", "url", "body")
+    assert sorted(tuple(r) for r in parity.near_pairs(named).collect()) == [("r1", "r2"), ("r1", "r3")]
+    assert sorted((r.class_id, r.n_links) for r in parity.near_classes(df).collect()) == [(1, 0), (1, 0), (1, 1), (1, 1), (1, 1)]
+
+
 def test_links_of_edited_sets_of_every_size_are_whole(spark):
     rng = np.random.default_rng(9)
     sets = []
-    for n in (1, 2, 3, 5, 9, 24, 33, 67, 135, 270):
+    for n in (1, 2, 3, 5, 9, 24, 33, 67, 135, 270, 1000):
         for k in range(30):
             pool = rng.choice(2**32, 2 * n, replace=False).astype(np.uint32)
-            common = round(n * (2 / 3 if k % 2 else 0.72)) or 1  # at the threshold, and just above it
+            common = round(n * (2 / 3, 0.71, 0.79)[k % 3]) or 1  # similarity 0.5, 0.55 and 0.65
             sets += [np.unique(pool[:n]), np.unique(np.concatenate([pool[:common], pool[n : 2 * n - common]]))]
     sets += [np.unique(np.concatenate([sets[0], rng.choice(2**32, 40).astype(np.uint32), sets[-1][:k]])) for k in (0, 200)]
     links = lambda a, b: len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b))
     want = {(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) if links(a, (b := sets[j])) and len(a) and len(b)}
-    rows = [(i, i, len(x), x.tobytes()) for i, x in enumerate(sets)]
-    df = spark.createDataFrame(rows, "rec long, rep long, n int, runs binary").repartition(3)
-    for how in ("bands", "prefix"):
-        got = [(r.rep_a, r.rep_b) for r in parity.class_links(df, candidates=how).collect()]
+    rows = [(i, 7, len(x), x.tobytes()) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "c1 long, c2 long, n int, runs binary").repartition(3)
+    for how in ("parts", "prefix"):
+        got = [(r.c1_a, r.c1_b) for r in parity.class_links(df, candidates=how).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
         assert parity.class_links(df.limit(0), candidates=how).count() == 0
 
 
-def test_share_of_pairs_that_bands_lose():
-    assert (1 - 0.5**parity.BAND_ROWS) ** parity.n_bands(0.5) <= parity.MISS == 1e-6
+def test_share_of_pairs_that_parts_lose():
+    assert (1 - 0.5**parity.PART) ** parity.n_parts(0.5) <= parity.MISS == 1e-6
     rng = np.random.default_rng(5)
     for n in (3, 24, 135):
         agree = []
         for _ in range(100):
             pool = rng.choice(2**32, 4 * n // 3, replace=False).astype(np.uint32)  # similarity 0.5
-            who, keys = parity.band_keys([np.unique(pool[:n]), np.unique(pool[n // 3 :])], 0.5)
+            who, keys = parity.part_sketches([np.unique(pool[:n]), np.unique(pool[n // 3 :])], 0.5)
             agree.append(len(np.intersect1d(keys[who == 0], keys[who == 1])))
-        assert min(agree) > 0 and abs(np.mean(agree) / parity.n_bands(0.5) - 0.5**parity.BAND_ROWS) < 0.01
+        assert min(agree) > 0 and abs(np.mean(agree) / parity.n_parts(0.5) - 0.5**parity.PART) < 0.01
