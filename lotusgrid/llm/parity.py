@@ -9,11 +9,12 @@ sets. A similarity of at least s bounds that difference by (|A|+|B|)(1-s)/(1+s).
    fixed size: at each place the run that is least under the place's own hash, so two
    sets agree at a place with probability equal to their similarity, whatever their
    sizes, and one cut into parts serves every size band. The parity sketch of the
-   sample is cut into parts of ``PART`` places, and sets that agree in a part - the XOR
-   of its hashes - are candidates. With fewer differing places than parts one part must
-   be free of differences; beyond that a part is free with probability s^PART, and
-   ``n_parts`` takes so many parts that the computed share of pairs lost just at the
-   threshold is under ``MISS``. ``candidates="prefix"`` loses none at all: the runs of
+   sample is cut into parts of ``PART`` places (each place is in ``SHARED`` parts, by
+   different dealings), and sets that agree in a part - the XOR of its hashes - are
+   candidates. With fewer differing places than parts of a dealing one part must be free
+   of differences; beyond that a part is free with probability s^PART, and ``n_groups``
+   takes so many that the computed share of pairs lost just at the threshold is under
+   ``MISS``. ``candidates="prefix"`` loses none at all: the runs of
    every set are put in one order, rare ones first, and sets are joined by the first
    runs that a common run can be among (``first_runs``); its work grows with the square
    of a run's frequency.
@@ -38,7 +39,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -55,10 +56,12 @@ from .content import Model, Scorer, content_of
 
 WORD = re.compile(r"[^\W_]+")
 RANK_BITS = 20
-#: Sampled places in a part; the share of pairs just at the threshold that the parts may lose.
-PART, MISS = 5, 1e-6
+#: Sampled places in a part, and how many parts a place takes part in; the share of pairs just at the threshold that the parts may lose.
+PART, SHARED, MISS = 5, 2, 1e-6
 #: Parts are joined in so many rounds, each cut before the next, so that not all keys lie on disk at once.
 ROUNDS = 4
+#: Sets of one key that meet in the task that sorts it; keys of more sets meet in a join, which can be split.
+HOT = 2_000
 _U = np.uint64
 
 
@@ -106,30 +109,108 @@ def runs(texts: list[str], words: Words, size: int = 3) -> list[np.ndarray]:
     return out
 
 
-def n_parts(similarity: float, miss: float = MISS) -> int:
-    return 1 if similarity >= 1 else math.ceil(math.log(miss) / math.log1p(-(similarity**PART)))
+def lost(similarity: float, groups: int) -> float:
+    """The share of pairs of a similarity that ``groups`` x ``SHARED`` parts lose, summed over the numbers of places that agree.
+
+    Each group deals all its places out to parts ``SHARED`` times, so parts of different
+    dealings overlap by chance only; given the number of places that agree, parts agree as good as independently.
+    """
+    t = groups * PART
+    p = np.array([math.comb(t, k) * similarity**k * (1 - similarity) ** (t - k) if t < 1000 else math.exp(math.lgamma(t + 1) - math.lgamma(k + 1) - math.lgamma(t - k + 1) + k * math.log(similarity) + (t - k) * math.log1p(-similarity)) for k in range(t + 1)])
+    k = np.arange(t + 1, dtype=np.float64)
+    one = np.ones(t + 1)
+    for r in range(PART):
+        one *= np.maximum(k - r, 0) / (t - r)
+    return float((p * (1 - one) ** (groups * SHARED)).sum())
+
+
+@lru_cache(maxsize=64)
+def n_groups(similarity: float, miss: float = MISS) -> int:
+    """The least number of groups of ``PART`` places, a multiple of ``ROUNDS``, that loses no more than ``miss``."""
+    if similarity >= 1:
+        return ROUNDS
+    groups = ROUNDS
+    while lost(similarity, groups) > miss:
+        groups += ROUNDS
+    return groups
 
 
 def part_sketches(sets: list[np.ndarray], similarity: float, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, key) of all parts of the sampled sets' parity sketches, or of each ``turns``-th part from ``turn`` on."""
-    parts = np.arange(turn, n_parts(similarity), turns, dtype=_U)
-    t = len(parts)
+    """(index of the set, key) of all parts of the sampled sets' parity sketches, or of those of one turn's places."""
+    groups = n_groups(similarity) // turns
+    t = groups * PART
     full = [i for i, s in enumerate(sets) if len(s)]
-    places = (parts[:, None] * _U(PART) + np.arange(1, PART + 1, dtype=_U)).ravel()
+    places = np.arange(turn * t + 1, (turn + 1) * t + 1, dtype=_U)
     factors = (mix(places * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32) | np.uint32(1)
-    least = np.zeros((len(full), t * PART), np.uint32)
+    sample = np.empty((len(full), t), np.uint32)
+    piece = np.empty((64, t), np.uint32)
     for k, i in enumerate(full):
-        s = sets[i]
-        best = least[k]
+        s, best = sets[i][:, None], sample[k]
         np.multiply(s[0], factors, out=best)
         for lo in range(0, len(s), 64):  # pieces that stay in the cache
-            np.minimum(best, np.multiply.outer(s[lo : lo + 64], factors).min(axis=0), out=best)
-    sample = least.reshape(len(full), t, PART).astype(_U)
-    key = np.zeros((len(full), t), _U)
-    for r in range(PART):
-        key ^= mix(sample[:, :, r] + (_U(r + 1) << _U(32)))
-    keys = mix(key + mix(parts + _U(1)))
-    return np.tile(np.array(full, dtype=np.int64), t), keys.T.ravel()
+            e = s[lo : lo + 64]
+            np.minimum(best, np.multiply(e, factors, out=piece[: len(e)]).min(axis=0), out=best)
+    hashed = mix(sample.astype(_U) + (places << _U(32)))
+    keys = []
+    for d in range(SHARED):
+        # A dealing by a fixed order of the turn's places; the first is the natural one.
+        order = np.argsort(mix(places + _U(d << 40)), kind="stable") if d else np.arange(t)
+        part = np.bitwise_xor.reduce(hashed[:, order].reshape(len(full), groups, PART), axis=2)
+        keys.append(mix(part + _U(d)))
+    keys = np.concatenate(keys, axis=1)
+    return np.tile(np.array(full, dtype=np.int64), keys.shape[1]), keys.T.ravel()
+
+
+def meet(batches: Iterator[pa.RecordBatch], hot: int = HOT, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows (key, c) in order of key to pairs (a, b) of one key; the rows of keys that more than ``hot`` sets have go on as (key, a)."""
+
+    def pairs(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = end - start
+        many = np.flatnonzero(size > 1)
+        i = np.repeat(start[many], size[many]) + np.arange(int(size[many].sum())) - np.repeat(np.cumsum(size[many]) - size[many], size[many])
+        n = np.repeat(end[many], size[many]) - i - 1
+        at, ends = 0, np.cumsum(n)
+        while at < len(i):
+            e = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            k = n[at:e]
+            left = np.repeat(i[at:e], k)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
+            x, y = c[left], c[right]
+            got = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(got), pa.int64()), pa.array(got[:, 0]), pa.array(got[:, 1])], names=["key", "a", "b"])
+            at = e
+
+    def go_on(key: int, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), key)), pa.array(c), pa.nulls(len(c), pa.int64())], names=["key", "a", "b"])
+
+    held_key, held, burning = None, [], False
+    for b in batches:
+        key, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(key):
+            continue
+        if held:
+            key, c = np.concatenate([np.full(sum(map(len, held)), held_key), key]), np.concatenate([*held, c])
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        end = np.append(start[1:], len(key))
+        if burning:  # the first key's earlier rows have gone on already
+            if key[0] == held_key:
+                yield go_on(held_key, c[: end[0]])
+                if len(start) == 1:
+                    held = []
+                    continue
+                start, end = start[1:], end[1:]
+            burning = False
+        last, start, end = start[-1], start[:-1], end[:-1]
+        big = end - start > hot
+        for x, y in zip(start[big].tolist(), end[big].tolist()):
+            yield go_on(int(key[x]), c[x:y])
+        yield from pairs(c, start[~big], end[~big])
+        held_key, held = int(key[last]), [c[last:]]
+        if len(held[0]) > hot:
+            yield go_on(held_key, held[0])
+            held, burning = [], True
+    if held:
+        yield from pairs(held[0], np.array([0]), np.array([len(held[0])]))
 
 
 def run_ranks(reps: DataFrame) -> np.ndarray:
@@ -237,8 +318,7 @@ def class_links(sets: DataFrame, similarity: float = 0.5, bits: int = 1024, cand
 
     def met(turn: int) -> DataFrame:
         keys = sets.select("c1", "runs").mapInArrow(sketch(turn), "key long, c long")
-        a, b = keys.withColumnRenamed("c", "a"), keys.withColumnRenamed("c", "b")
-        return cut(a.join(b, "key").where("a < b").select("a", "b").distinct(), "parity-pairs")
+        return cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, a long, b long"), "parity-met")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 300):
@@ -255,7 +335,10 @@ def class_links(sets: DataFrame, similarity: float = 0.5, bits: int = 1024, cand
         pairs = a.join(b, "key").where("a < b").where(left_over * (1 + similarity) >= (F.col("n_a") + F.col("n_b")) * similarity - 1e-6)
         pairs = cut(pairs.select("a", "b").distinct(), "parity-pairs")
     else:
-        pairs = reduce(DataFrame.unionByName, [met(k) for k in range(ROUNDS)]).distinct()
+        got = reduce(DataFrame.unionByName, [met(k) for k in range(ROUNDS)])
+        hot = got.where("b is null").select("key", "a")
+        across = hot.join(hot.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b")
+        pairs = got.where("b is not null").select("a", "b").unionByName(across).distinct()
 
     @F.pandas_udf("binary")
     def sketched(x: pd.Series) -> pd.Series:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -19,9 +20,9 @@ def test_equal_sets_have_equal_parts():
     b = np.unique(np.concatenate([a[5:], rng.integers(0, 2**32, 5, dtype=np.uint32)]))
     who, keys = parity.part_sketches([a, b, a, a[:0]], 0.5)
     of = [set(keys[who == k].tolist()) for k in range(4)]
-    assert of[0] == of[2] and len(of[0] & of[1]) > 300 and not of[3] and len(of[0]) == parity.n_parts(0.5)
-    parts = [parity.part_sketches([a, b], 0.5, k, 3) for k in range(3)]
-    assert set(np.concatenate([k[w == 1] for w, k in parts]).tolist()) == of[1]
+    assert of[0] == of[2] and len(of[0] & of[1]) > 300 and not of[3] and len(of[0]) == parity.n_groups(0.5) * parity.SHARED
+    parts = [parity.part_sketches([a, b], 0.5, k, parity.ROUNDS) for k in range(parity.ROUNDS)]
+    assert len({x for w, k in parts for x in k[w == 1].tolist()}) == len(of[1])
 
 
 def brute(rows, least=0.5):
@@ -97,12 +98,32 @@ def test_links_of_edited_sets_of_every_size_are_whole(spark):
 
 
 def test_share_of_pairs_that_parts_lose():
-    assert (1 - 0.5**parity.PART) ** parity.n_parts(0.5) <= parity.MISS == 1e-6
+    groups = parity.n_groups(0.5)
+    assert parity.lost(0.5, groups) <= parity.MISS == 1e-6 < parity.lost(0.5, groups - parity.ROUNDS)
+    assert parity.n_groups(1.0) == parity.ROUNDS
     rng = np.random.default_rng(5)
     for n in (3, 24, 135):
         agree = []
         for _ in range(100):
             pool = rng.choice(2**32, 4 * n // 3, replace=False).astype(np.uint32)  # similarity 0.5
-            who, keys = parity.part_sketches([np.unique(pool[:n]), np.unique(pool[n // 3 :])], 0.5)
-            agree.append(len(np.intersect1d(keys[who == 0], keys[who == 1])))
-        assert min(agree) > 0 and abs(np.mean(agree) / parity.n_parts(0.5) - 0.5**parity.PART) < 0.01
+            got = 0
+            for turn in range(parity.ROUNDS):
+                who, keys = parity.part_sketches([np.unique(pool[:n]), np.unique(pool[n // 3 :])], 0.5, turn, parity.ROUNDS)
+                got += len(np.intersect1d(keys[who == 0], keys[who == 1]))
+            agree.append(got)
+        assert min(agree) > 0 and abs(np.mean(agree) / (groups * parity.SHARED) - 0.5**parity.PART) < 0.01
+
+
+def test_sets_of_a_key_meet_in_pieces_and_hot_keys_go_on():
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 5, 1, 40, 3, 100, 1, 60, 2]
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    c = rng.permutation(len(key)).astype(np.int64)
+    c[1] = c[2]  # a set that has a key twice
+    for step in (7, 30, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[k : k + step]), pa.array(c[k : k + step])], names=["key", "c"]) for k in range(0, len(key), step)]
+        rows = [r for b in parity.meet(iter(batches), 50, 20) for r in b.to_pylist()]
+        pairs, hot = {(r["a"], r["b"]) for r in rows if r["b"] is not None}, sorted((r["key"], r["a"]) for r in rows if r["b"] is None)
+        want = {(min(x, y), max(x, y)) for k, n in enumerate(sizes) if n <= 50 for x in c[key == k].tolist() for y in c[key == k].tolist() if x != y}
+        assert pairs == want and hot == sorted((int(k), int(x)) for k, x in zip(key, c) if sizes[k] > 50)
+    assert list(parity.meet(iter([]))) == []
