@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import cut, spread
+from ..session import cut, parallelism, spread
 from .batches import slices
 from .canon import canon
 from .content import Model, Scorer, content_of
@@ -62,6 +62,8 @@ PART, SHARED, MISS = 5, 2, 1e-6
 ROUNDS = 4
 #: Sets of one key that meet in the task that sorts it; keys of more sets meet in a join, which can be split.
 HOT = 2_000
+#: Keys that are sorted at once, about, and that travel in one row, at most.
+PIECE, PACK = 500_000, 512
 _U = np.uint64
 
 
@@ -71,31 +73,89 @@ def mix(k: np.ndarray) -> np.ndarray:
     return k ^ (k >> _U(33))
 
 
+#: Characters that are hashed at once.
+_CELLS = 1 << 17
+#: An odd factor and its inverse modulo 2^64.
+_FACTOR = 0x9E3779B97F4A7C15
+_BACK = pow(_FACTOR, -1, 1 << 64)
+
+
 class Words:
-    """64-bit hashes of words, remembered."""
+    """64-bit hashes of all words (runs of letters and digits) of texts, by array operations.
+
+    A word's hash is the sum of its characters' hashes times powers of a factor, taken
+    from running sums over the whole text and brought to the word's own beginning.
+    """
 
-    def __init__(self, room: int = 100_000):
-        self.memo: dict[str, int] = {}
-        self.room = room
+    def __init__(self):
+        self.known = np.zeros(0, _U)
+
+    def _grow(self, n: int) -> None:
+        self.up, self.down = np.full(n + 1, _FACTOR, _U), np.full(n + 1, _BACK, _U)
+        for x in (self.up, self.down):
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+
+    def _table(self, top: int) -> None:
+        """Hashes of characters up to a code point; 0 for what stands between words."""
+        n = max(1 << 14, 1 << (top + 1).bit_length())
+        word = np.fromiter((WORD.match(chr(i)) is not None for i in range(n)), bool, n)
+        self.known = np.where(word, mix(np.arange(n, dtype=_U) + _U(1)) | _U(1), _U(0))
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words, number of words of each text)."""
+        n = np.zeros(len(texts), np.int64)
+        out, held, size, first = [], [], 0, 0
+        for k, t in enumerate(texts):
+            if len(t) > _CELLS:
+                out.append(self._some(held, n, first))
+                for piece in self._pieces(t):
+                    m = np.zeros(1, np.int64)
+                    out.append(self._some([piece], m, 0))
+                    n[k] += m[0]
+                held, size, first = [], 0, k + 1
+                continue
+            held.append(t)
+            size += len(t) + 1
+            if size > _CELLS:
+                out.append(self._some(held, n, first))
+                held, size, first = [], 0, k + 1
+        out.append(self._some(held, n, first))
+        return np.concatenate(out), n
+
+    def _pieces(self, t: str) -> Iterator[str]:
+        """A very long text cut between words."""
+        at = 0
+        while at < len(t):
+            e = at + _CELLS
+            while e < len(t) and WORD.match(t[e]):
+                e += 1
+            yield t[at:e]
+            at = e
 
-    def of(self, words: list[str]) -> np.ndarray:
-        memo = self.memo
-        try:
-            return np.array([memo[w] for w in words], dtype=_U)
-        except KeyError:
-            if len(memo) > self.room:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            return np.array([memo[w] for w in words], dtype=_U)
+    def _some(self, texts: list[str], n: np.ndarray, first: int) -> np.ndarray:
+        if not texts:
+            return np.zeros(0, _U)
+        cp = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+        if (top := int(cp.max())) >= len(self.known):
+            self._table(top)
+        h = self.known[cp]
+        word = h != 0
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        if word[0]:
+            edge = np.concatenate([[0], edge])
+        start, end = edge[::2], edge[1::2]
+        if len(cp) >= len(getattr(self, "up", ())):
+            self._grow(len(cp))
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(h * self.up[: len(h)])])
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        n[first : first + len(texts)] = np.diff(np.searchsorted(start, ends), prepend=0)
+        return mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(_U))
 
 
 def runs(texts: list[str], words: Words, size: int = 3) -> list[np.ndarray]:
     """The sorted set of 32-bit hashes of the runs of ``size`` words of each text."""
-    split = [WORD.findall(t.lower()) for t in texts]
-    n = np.array([len(w) for w in split], dtype=np.int64)
-    h = words.of([x for w in split for x in w])
+    h, n = words.of([t.lower() for t in texts])
     if len(h) < size:
         return [np.zeros(0, np.uint32) for _ in texts]
     k = np.zeros(len(h) - size + 1, dtype=_U)
@@ -161,8 +221,22 @@ def part_sketches(sets: list[np.ndarray], similarity: float, turn: int = 0, turn
     return np.tile(np.array(full, dtype=np.int64), keys.shape[1]), keys.T.ravel()
 
 
-def meet(batches: Iterator[pa.RecordBatch], hot: int = HOT, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Rows (key, c) in order of key to pairs (a, b) of one key; the rows of keys that more than ``hot`` sets have go on as (key, a)."""
+def packed(keys: np.ndarray, c: np.ndarray, pieces: int) -> pa.RecordBatch:
+    """Rows (piece, keys, sets) of keys by their piece, at most ``PACK`` in a row."""
+    p = (keys % _U(pieces)).astype(np.uint16 if pieces <= 1 << 16 else np.int32)
+    order = np.argsort(p, kind="stable")
+    p, keys, c = p[order], keys[order], c[order]
+    start = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
+    cuts = [x for a, e in zip(start.tolist(), [*start[1:].tolist(), len(p)]) for x in range(a, e, PACK)]
+    rows = list(zip(cuts, [*cuts[1:], len(p)]))
+    return pa.RecordBatch.from_arrays([pa.array(p[cuts].astype(np.int32)), *(pa.array([x[a:e].tobytes() for a, e in rows], pa.binary()) for x in (keys, c))], names=["piece", "keys", "sets"])
+
+
+def meet(batches: Iterator[pa.RecordBatch], hot: int = HOT, most: int = 1_000_000, room: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Packed rows in order of piece to pairs (a, b) of sets of one key; the sets of keys that more than ``hot`` of them have go on as (key, a).
+
+    A piece is held whole, but where it goes beyond ``room`` its hot keys go on at once.
+    """
 
     def pairs(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
         size = end - start
@@ -176,41 +250,55 @@ def meet(batches: Iterator[pa.RecordBatch], hot: int = HOT, most: int = 1_000_00
             left = np.repeat(i[at:e], k)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
             x, y = c[left], c[right]
-            got = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(got), pa.int64()), pa.array(got[:, 0]), pa.array(got[:, 1])], names=["key", "a", "b"])
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(x)] & (x != y)
+            yield pa.RecordBatch.from_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(x[new]), pa.array(y[new])], names=["key", "a", "b"])
             at = e
 
-    def go_on(key: int, c: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), key)), pa.array(c), pa.nulls(len(c), pa.int64())], names=["key", "a", "b"])
+    def go_on(key: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.nulls(len(c), pa.int64())], names=["key", "a", "b"])
+
+    piece, keys, sets, size, most_held = None, [], [], 0, room
+    burning: set[int] = set()
+
+    def settle(end: bool) -> Iterator[pa.RecordBatch]:
+        """Hot keys go on; at the end of a piece the other ones' pairs are made, before it they stay."""
+        nonlocal keys, sets, size, most_held
+        if not keys:
+            return
+        k, c = np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(sets), np.int64)
+        order = np.argsort(k)
+        k, c = k[order], c[order]
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        stop = np.append(start[1:], len(k))
+        big = stop - start > hot
+        if burning:
+            big |= np.isin(k[start], np.array(list(burning)))
+        rows = np.repeat(big, stop - start)
+        if big.any():
+            burning.update(k[start[big]].tolist())
+            yield go_on(k[rows], c[rows])
+        if end:
+            yield from pairs(c, start[~big], stop[~big])
+            keys, sets, size, most_held = [], [], 0, room
+            burning.clear()
+        else:
+            keys, sets, size = [k[~rows].tobytes()], [c[~rows].tobytes()], int((~rows).sum())
+            most_held = max(room, 2 * size)
 
-    held_key, held, burning = None, [], False
     for b in batches:
-        key, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(key):
-            continue
-        if held:
-            key, c = np.concatenate([np.full(sum(map(len, held)), held_key), key]), np.concatenate([*held, c])
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        end = np.append(start[1:], len(key))
-        if burning:  # the first key's earlier rows have gone on already
-            if key[0] == held_key:
-                yield go_on(held_key, c[: end[0]])
-                if len(start) == 1:
-                    held = []
-                    continue
-                start, end = start[1:], end[1:]
-            burning = False
-        last, start, end = start[-1], start[:-1], end[:-1]
-        big = end - start > hot
-        for x, y in zip(start[big].tolist(), end[big].tolist()):
-            yield go_on(int(key[x]), c[x:y])
-        yield from pairs(c, start[~big], end[~big])
-        held_key, held = int(key[last]), [c[last:]]
-        if len(held[0]) > hot:
-            yield go_on(held_key, held[0])
-            held, burning = [], True
-    if held:
-        yield from pairs(held[0], np.array([0]), np.array([len(held[0])]))
+        for p, k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if p != piece:
+                yield from settle(True)
+                piece = p
+            keys.append(k)
+            sets.append(c)
+            size += len(k) // 8
+            if size > most_held:
+                yield from settle(False)
+    yield from settle(True)
 
 
 def run_ranks(reps: DataFrame) -> np.ndarray:
@@ -309,16 +397,19 @@ def class_links(sets: DataFrame, similarity: float = 0.5, bits: int = 1024, cand
 
     def sketch(turn: int) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, 300):
+            for b in slices(batches, 1000):
                 s = [np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()]
                 who, keys = part_sketches(s, similarity, turn, ROUNDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(b.column(0).to_numpy()[who])], names=["key", "c"])
+                yield packed(keys, b.column(0).to_numpy()[who], pieces)
 
         return run
 
     def met(turn: int) -> DataFrame:
-        keys = sets.select("c1", "runs").mapInArrow(sketch(turn), "key long, c long")
-        return cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, a long, b long"), "parity-met")
+        keys = sets.select("c1", "runs").mapInArrow(sketch(turn), "piece int, keys binary, sets binary")
+        return cut(keys.repartition("piece").sortWithinPartitions("piece").mapInArrow(meet, "key long, a long, b long"), "parity-met")
+
+    # Keys travel packed by pieces of about PIECE keys, so that few and larger rows are shuffled and sorted.
+    pieces = max(2 * parallelism(sets.sparkSession), sets.count() * n_groups(similarity) * SHARED // ROUNDS // PIECE)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 300):

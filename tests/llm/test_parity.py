@@ -117,13 +117,29 @@ def test_share_of_pairs_that_parts_lose():
 def test_sets_of_a_key_meet_in_pieces_and_hot_keys_go_on():
     rng = np.random.default_rng(3)
     sizes = [1, 2, 5, 1, 40, 3, 100, 1, 60, 2]
-    key = np.repeat(np.arange(len(sizes)), sizes)
+    key = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint64)
     c = rng.permutation(len(key)).astype(np.int64)
     c[1] = c[2]  # a set that has a key twice
-    for step in (7, 30, 1000):
-        batches = [pa.RecordBatch.from_arrays([pa.array(key[k : k + step]), pa.array(c[k : k + step])], names=["key", "c"]) for k in range(0, len(key), step)]
-        rows = [r for b in parity.meet(iter(batches), 50, 20) for r in b.to_pylist()]
+    order = rng.permutation(len(key))
+    want = {(min(x, y), max(x, y)) for k, n in enumerate(sizes) if n <= 50 for x in c[key == k].tolist() for y in c[key == k].tolist() if x != y}
+    for pieces, step, room in ((1, 7, 30), (3, 30, 60), (4, 1000, 10**6), (100_000, 50, 40)):
+        rows = [r for k in range(0, len(key), step) for r in parity.packed(key[order[k : k + step]], c[order[k : k + step]], pieces).to_pylist()]
+        table = pa.Table.from_pylist(sorted(rows, key=lambda r: r["piece"]), pa.schema([("piece", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())]))
+        rows = [r for b in parity.meet(iter(table.to_batches(3)), 50, 20, room) for r in b.to_pylist()]
         pairs, hot = {(r["a"], r["b"]) for r in rows if r["b"] is not None}, sorted((r["key"], r["a"]) for r in rows if r["b"] is None)
-        want = {(min(x, y), max(x, y)) for k, n in enumerate(sizes) if n <= 50 for x in c[key == k].tolist() for y in c[key == k].tolist() if x != y}
-        assert pairs == want and hot == sorted((int(k), int(x)) for k, x in zip(key, c) if sizes[k] > 50)
-    assert list(parity.meet(iter([]))) == []
+        assert pairs == want and hot == sorted((int(k), int(x)) for k, x in zip(key, c) if sizes[int(k)] > 50)
+    assert list(parity.meet(iter([]))) == [] and parity.packed(key[:0], c[:0], 3).num_rows == 0
+
+
+def test_word_hashes_follow_the_words(monkeypatch):
+    texts = ["", "Một hai, ba! một_hai", "x", " ", "…", "a1 b2\u0301c 𝒳y ½ z", "hai ba một", "ba " * 50 + "hai"]
+    words = parity.Words()
+    want = [parity.WORD.findall(t) for t in texts]
+    for cells in (1 << 17, 20):
+        monkeypatch.setattr(parity, "_CELLS", cells)
+        h, n = words.of(texts)
+        assert n.tolist() == [len(w) for w in want]
+        of = {}
+        for w, x in zip([x for w in want for x in w], h.tolist()):
+            assert of.setdefault(w, x) == x
+        assert len(set(of.values())) == len(of) > 8
