@@ -406,10 +406,11 @@ def class_links(sets: DataFrame, similarity: float = 0.5, bits: int = 1024, cand
 
     def met(turn: int) -> DataFrame:
         keys = sets.select("c1", "runs").mapInArrow(sketch(turn), "piece int, keys binary, sets binary")
-        return cut(keys.repartition("piece").sortWithinPartitions("piece").mapInArrow(meet, "key long, a long, b long"), "parity-met")
+        return cut(keys.repartitionById(tasks, F.col("piece")).sortWithinPartitions("piece").mapInArrow(meet, "key long, a long, b long"), "parity-met")
 
     # Keys travel packed by pieces of about PIECE keys, so that few and larger rows are shuffled and sorted.
     pieces = max(2 * parallelism(sets.sparkSession), sets.count() * n_groups(similarity) * SHARED // ROUNDS // PIECE)
+    tasks = min(pieces, max(2 * parallelism(sets.sparkSession), int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 300):
