@@ -1,14 +1,16 @@
 """Personal information in free text (problem 9).
 
 ``find`` gives the spans of e-mail addresses, phone numbers, identity numbers,
-street addresses and names of persons; ``mask`` replaces each by a placeholder of
-its kind. Numbers are validated (number of digits, prefix, grouping) and then
-pseudonymised by a format-preserving Feistel network: their digits are permuted,
-under a key, among the numbers of the same format, so that equal values - however
-they are grouped - get equal pseudonyms in all documents and stay linked, while
-separators and prefixes keep their form. Dates are permuted likewise among the days
-of a range (``feistel_date``). Values without a number format (mail, address, name)
-get a keyed tag.
+street addresses and names of persons, on request also dates; ``mask`` replaces each by
+a placeholder of its kind. Names are found by a form of address or another word that
+introduces a person, and without one by a trained model (``pii_names``). Numbers are
+validated (number of digits, prefix, grouping) and then pseudonymised by a
+format-preserving Feistel network: their digits are permuted, under a key, among the
+numbers of the same format and kind (mobile, landline; identity numbers that begin with
+a given province), so that equal values - however they are grouped - get equal
+pseudonyms in all documents and stay linked, while separators and prefixes keep their
+form. Dates are permuted among the days of a range (``feistel_date``). Values without a
+number format (mail, address, name) get a keyed tag.
 
 Matching is done on the composed form; spans are given back in the stored text.
 
@@ -24,7 +26,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from .batches import slices
+from .pii_names import names as model_names
 
 _UP = "A-ZÀ-ÖØ-ÝĂĐĨŨƠƯẠẢẤẦẨẪẬẮẰẲẴẶẸẺẼẾỀỂỄỆỈỊỌỎỐỒỔỖỘỚỜỞỠỢỤỦỨỪỬỮỰỲỴỶỸ"
 _LOW = "a-zà-öø-ÿăđĩũơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ"
@@ -91,6 +94,12 @@ ADDRESS = re.compile(
 )
 #: The words that introduce the number.
 ADDRESS_BEFORE = re.compile(f"(?:[Ss]ố{_S}nhà|[Nn]hà{_S}số|[Ss]ố|[Cc]ăn{_S}hộ|[Pp]hòng(?:{_S}số)?|[Nn]hà|No\\.|Number|Room|Flat|Apartment){_S}$")
+_DATE_WORDS = f"(?P<d>\\d{{1,2}}){_S}tháng{_S}(?P<m>\\d{{1,2}}){_S}năm{_S}(?P<y>(?:19|20)\\d{{2}})(?!\\d)"
+DATES = [
+    re.compile(r"(?<![\w/.-])(?P<d>\d{1,2})(?P<s>[/.-])(?P<m>\d{1,2})(?P=s)(?P<y>(?:19|20)\d{2})(?![\w/-])(?!\.\d)"),
+    re.compile(r"(?<![\w/.-])(?P<y>(?:19|20)\d{2})-(?P<m>\d{2})-(?P<d>\d{2})(?![\w/-])(?!\.\d)"),
+    re.compile(f"(?<!\\d){_DATE_WORDS}"),
+]
 _CLUSTER = re.compile("[^\\u0300-\\u036f][\\u0300-\\u036f]+")
 
 
@@ -112,8 +121,22 @@ def _composed(text: str) -> tuple[str, list[int] | None]:
     return "".join(out), places
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the personal information in a text, in order, without overlaps."""
+def dates(text: str) -> Iterator[tuple[int, int, re.Match]]:
+    """(start, end, match) of the dates of a text that are days of the calendar."""
+    for rx in DATES:
+        for m in rx.finditer(text):
+            try:
+                datetime.date(int(m["y"]), int(m["m"]), int(m["d"]))
+            except ValueError:
+                continue
+            yield m.start(), m.end(), m
+
+
+def find(text: str | None, model: bool = True, with_dates: bool = False) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the personal information in a text, in order, without overlaps.
+
+    ``model`` takes names without a form of address too; ``with_dates`` adds the kind ``date``.
+    """
     if not text:
         return []
     t, places = _composed(text)
@@ -133,6 +156,11 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
                     form = FORM_EN.match(t, a, e) if rx is NAME_EN else None
                     if form is None or " " in t[form.end() : e].strip():
                         spans.append((form.end() if form else a, e, "name"))
+    if model:
+        told = [(a, e) for a, e, kind in spans if kind in ("name", "address")]
+        spans += [(a, e, "name") for a, e in model_names(t) if not any(a < y and x < e for x, y in told)]
+    if with_dates:
+        spans += [(a, e, "date") for a, e, _ in dates(t)]
     spans.sort(key=lambda s: (s[0], -s[1]))
     out: list[tuple[int, int, str]] = []
     for a, e, kind in spans:
@@ -185,28 +213,55 @@ def feistel_date(day: datetime.date, key: bytes, first: datetime.date = datetime
             return first + datetime.timedelta(days=k)
 
 
+def _phone_kind(rest: str) -> str:
+    """Mobile, landline or other, by the digits behind the country or trunk prefix."""
+    return "mobile" if len(rest) == 9 and rest[0] in "35789" else "landline" if len(rest) == 10 and rest[0] == "2" else "other"
+
+
+def _id_kind(digits: str) -> str:
+    """Whether twelve digits begin with a province code and a century sign that are given out."""
+    return "given" if len(digits) == 12 and 1 <= int(digits[:3]) <= 96 and digits[3] in "0123" else "other"
+
+
+def _walk(digits: str, key: bytes, tweak: str, kind: Callable[[str], str]) -> str:
+    """The permutation within the numbers of one kind, by walking the cycle until the kind comes again."""
+    wanted, new = kind(digits), feistel(digits, key, tweak)
+    while kind(new) != wanted:
+        new = feistel(new, key, tweak)
+    return new
+
+
 def pseudonym(value: str, kind: str, key: bytes) -> str:
-    """A value of the same format for numbers, a keyed tag for the rest."""
+    """A value of the same format and kind for numbers and dates, a keyed tag for the rest."""
     value = unicodedata.normalize("NFC", value)
+    if kind == "date" and (got := next(dates(value), None)):
+        m = got[2]
+        day = feistel_date(datetime.date(int(m["y"]), int(m["m"]), int(m["d"])), key)
+        put = {"y": f"{day.year}", "m": f"{day.month:0{len(m['m'])}d}", "d": f"{day.day:0{len(m['d'])}d}"}
+        out = value
+        for g in sorted(put, key=lambda g: -m.start(g)):
+            out = out[: m.start(g)] + put[g] + out[m.end(g) :]
+        return out
     if kind in ("phone", "id_number"):
         digits = re.sub(r"\D", "", value)
         keep = 0
         if kind == "phone":
             if digits.startswith(("84", "0084")) and ("+" in value or digits.startswith("0084")):
                 keep = 2 if digits.startswith("84") else 4
+                keep += digits[keep : keep + 1] == "0"
             else:
                 keep = 1
         # The country form and the trunk form of one number share the permuted part.
-        new = digits[:keep] + feistel(digits[keep:], key, kind)
+        new = digits[:keep] + _walk(digits[keep:], key, kind, _phone_kind if kind == "phone" else _id_kind)
         it = iter(new)
         return "".join(next(it) if c.isdigit() else c for c in value)
     flat = " ".join(value.lower().split())
     return hmac.digest(key, f"{kind}|{flat}".encode(), "sha256").hex()[:10]
 
 
-def mask(text: str | None, key: bytes) -> str | None:
+def mask(text: str | None, key: bytes, with_dates: bool = False) -> str | None:
     """The text with typed placeholders."""
-    spans = find(text)
+    spans = find(text, with_dates=with_dates)
     if not spans:
         return text
     out, at = [], 0
@@ -216,13 +271,13 @@ def mask(text: str | None, key: bytes) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def masked(text: Column, key: bytes | str) -> Column:
+def masked(text: Column, key: bytes | str, with_dates: bool = False) -> Column:
     """A text column with typed placeholders."""
     k = key.encode() if isinstance(key, str) else key
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: mask(t, k), na_action="ignore")
+        return s.map(lambda t: mask(t, k, with_dates), na_action="ignore")
 
     return run(text)
 
@@ -241,9 +296,9 @@ def found(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     return spread(df.select(doc_id, text), doc_id).mapInArrow(run, f"`{doc_id}` long, kind string, found string").distinct()
 
 
-def masked_documents(df: DataFrame, key: bytes | str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text) of all documents with placeholders."""
-    return spread(df.select(doc_id, text), doc_id).select(doc_id, masked(F.col(text), key).alias(text))
+def masked_documents(df: DataFrame, key: bytes | str, doc_id: str = "doc_id", text: str = "text", with_dates: bool = False) -> DataFrame:
+    """(doc_id, text) of all documents with placeholders; ``with_dates`` permutes dates too."""
+    return spread(df.select(doc_id, text), doc_id).select(doc_id, masked(F.col(text), key, with_dates).alias(text))
 
 
 def fingerprint(key: bytes) -> str:

@@ -1,4 +1,6 @@
 import datetime
+import random
+import re
 import unicodedata
 
 import pytest
@@ -69,3 +71,60 @@ def test_dirty_rows(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kind int")
     assert sorted(tuple(r) for r in pii.found(df).collect()) == [(1, "phone", "0748.347.301"), (4, "phone", "0748.347.301")]
     assert pii.masked_documents(df, "k").count() == 6 and pii.found(df.limit(0)).count() == 0
+
+
+FREE = [
+    ("Nguyễn Văn An cho biết xe tải chạy rất nhanh.", ["Nguyễn Văn An"]),
+    ("Theo lời kể của Trần Thị Hoa, trời lúc đó mưa to.", ["Trần Thị Hoa"]),
+    ("Bác sĩ Lê Quang Huy trực cấp cứu.", ["Lê Quang Huy"]),
+    ("John Smith was injured in the crash.", ["John Smith"]),
+    ("Police arrested Maria Lopez on Sunday.", ["Maria Lopez"]),
+    ("Đêm qua, PHẠM THỊ LAN đã nhập viện ở Hà Đông.", ["PHẠM THỊ LAN"]),
+    ("Xe chạy qua đường Nguyễn Trãi, phố Lê Lợi và cầu Trần Thị Lý ở quận Hoàng Mai.", []),
+    ("Trường Nguyễn Du và Công ty Trần Hùng nghỉ. The James Miller Company closed.", []),
+    ("HỒ VĂN QUÁN LÀ MỘT HỒ NƯỚC", []),
+]
+
+
+@pytest.mark.parametrize("text,want", FREE)
+def test_names_without_a_form_of_address(text, want):
+    assert [text[a:e] for a, e, k in pii.find(text) if k == "name"] == want
+    assert pii.find(text, model=False) == [] or not want or len(pii.find(text, model=False)) <= len(want)
+
+
+def test_dates_are_permuted_only_on_request():
+    text = "sinh 12/03/1980, ngày 3 tháng 4 năm 1991, 2001-02-03; không phải 31/02/2000, 1.2.2003.4, 12/3"
+    assert pii.find(text) == [] and pii.mask(text, b"k") == text
+    spans = pii.find(text, with_dates=True)
+    assert [text[a:e] for a, e, _ in spans] == ["12/03/1980", "3 tháng 4 năm 1991", "2001-02-03"] and {k for *_, k in spans} == {"date"}
+    masked = pii.mask(text, b"k", True)
+    new = [x.split(":", 1)[1] for x in re.findall(r"\[([^\]]*)\]", masked)]
+    assert [k for x in new for *_, k in pii.find(x, with_dates=True)] == ["date"] * 3 and "12/03/1980" not in masked
+    assert pii.pseudonym("12/03/1980", "date", b"k") == pii.pseudonym("12/03/1980", "date", b"k") != pii.pseudonym("12/03/1980", "date", b"l")
+
+
+def test_pseudonyms_are_numbers_of_the_same_kind():
+    rng, seen = random.Random(1), set()
+    for k in range(300):
+        rest = rng.choice("35789") + f"{rng.randrange(10**8):08d}"
+        new = pii.pseudonym("0" + rest, "phone", b"key")
+        assert re.fullmatch(r"0[35789]\d{8}", new) and pii.PHONE.fullmatch(new)
+        assert pii.pseudonym("+84 " + rest, "phone", b"key") == "+84 " + new[1:] == pii.pseudonym("+84(0)" + rest, "phone", b"key").replace("(0)", " ")
+        seen.add((rest, new))
+        land = pii.pseudonym(f"024 {rng.randrange(10**4):04d} {rng.randrange(10**4):04d}", "phone", b"key")
+        assert re.fullmatch(r"02\d \d{4} \d{4}", land)
+        card = pii.pseudonym(f"{rng.randint(1, 96):03d}{rng.randint(0, 3)}{rng.randrange(10**8):08d}", "id_number", b"key")
+        assert 1 <= int(card[:3]) <= 96 and card[3] in "0123" and len(card) == 12
+    assert len({a for a, _ in seen}) == len({b for _, b in seen})
+
+
+def test_name_model_is_trained_and_holds_on_held_out_sentences():
+    from lotusgrid.llm import pii_names, pii_train
+
+    xs, ys = pii_train.samples([], 2000, seed=99)
+    w = pii_names.WEIGHTS
+    said = [w["bias"] + sum(w.get(f, 0) for f in x) > 0 for x in xs]
+    hit = sum(a and b for a, b in zip(said, ys))
+    assert hit / sum(said) > 0.95 and hit / sum(ys) > 0.93
+    again = pii_train.train(xs, ys, 200)
+    assert again["b:place"] < -2 < 2 < again["middle"] + again["a:deed"]
