@@ -14,7 +14,7 @@ document.
 
 Defined results: null or empty text holds nothing; items shorter than ``length``
 words cannot leak; repeated documents count for themselves; a very long document is
-indexed whole, in the shard it falls into.
+indexed whole, in overlapping shards.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import spread
 from .batches import slices
@@ -204,44 +205,79 @@ def shard_spans(docs: list[tuple[int, list[np.ndarray], list[int]]], items: Item
     return out
 
 
-def leak_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", length: int = 12, max_item_rows: int = 1_000_000, shard_words: int = 1_000_000) -> DataFrame:
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (item, first word, end) with those of one item that touch made one."""
+    out: list[tuple[int, int, int]] = []
+    for i, a, e in sorted(spans):
+        if out and out[-1][0] == i and a <= out[-1][2]:
+            out[-1] = (i, out[-1][1], max(e, out[-1][2]))
+        else:
+            out.append((i, a, e))
+    return out
+
+
+def stretches(ids: np.ndarray, length: int, most: int) -> Iterator[tuple[np.ndarray, int]]:
+    """(word ids, first word) of the runs of at least ``length`` item words; longer ones than ``most`` in pieces that overlap by length - 1."""
+    edge = np.concatenate([[-1], np.flatnonzero(ids == 0), [len(ids)]])
+    for k in np.flatnonzero(np.diff(edge) > length).tolist():
+        a, e = int(edge[k]) + 1, int(edge[k + 1])
+        for s in range(a, max(a + 1, e - length + 1), most):
+            yield ids[s : min(e, s + most + length - 1)], s
+
+
+def leak_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", length: int = 12, max_item_rows: int = 1_000_000, max_item_bytes: int = 64 << 20, shard_words: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, first_word, end_word) of leaked passages, words counted from 0.
 
     The items are a stated query set and are read to the driver; more than
-    ``max_item_rows`` of them is an error, to be met by calling in blocks.
-    ``shard_words`` item words at most (and at least one document) make a shard.
+    ``max_item_rows`` of them, or more text than ``max_item_bytes``, is an error, to be
+    met by calling in blocks. A shard holds about ``shard_words`` item words; a longer
+    document is cut into several, which overlap by length - 1 words.
     """
-    rows = items.select(item_id, item_text).where(f"`{item_id}` is not null and `{item_text}` is not null").limit(max_item_rows + 1).collect()
-    if len(rows) > max_item_rows:
-        raise ValueError(f"more than {max_item_rows} items: search them in blocks")
-    it = Items([(r[0], r[1]) for r in rows], length)
+    items = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
+    if n > max_item_rows or (size or 0) > max_item_bytes:
+        raise ValueError(f"{n} items of {size} bytes, more than {max_item_rows} or {max_item_bytes} bytes: search them in blocks")
+    it = Items([(r[0], r[1]) for r in items.collect()], length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, held, size = it.vocabulary.get, [], 0
 
-        def flush() -> pa.RecordBatch:
-            spans = shard_spans(held, it)
-            ids = [held[d][0] for d, *_ in spans]
-            cols = [pa.array(ids, pa.int64()), *(pa.array([s[k] for s in spans], pa.int64()) for k in (1, 2, 3))]
-            return pa.RecordBatch.from_arrays(cols, names=[doc_id, "item_id", "first_word", "end_word"])
+        def flush() -> list[tuple[int, int, int, int]]:
+            nonlocal held, size
+            got = [(held[d][0], *s) for d, *s in shard_spans(held, it)]
+            held, size = [], 0
+            return got
+
+        def rows(spans: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([s[k] for s in spans], pa.int64()) for k in range(4)], names=[doc_id, "item_id", "first_word", "end_word"])
 
         for b in slices(batches):
             for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if r is None or not t:
                     continue
-                a = np.array([get(w, 0) for w in words(t)], dtype=np.int32)
-                z = np.flatnonzero(a == 0)
-                edge = np.concatenate([[-1], z, [len(a)]])
-                long = np.flatnonzero(np.diff(edge) > it.length)
-                if len(long):
-                    starts = (edge[long] + 1).tolist()
-                    held.append((r, [a[s : edge[k + 1]] for s, k in zip(starts, long)], starts))
-                    size += sum(len(s) + 1 for s in held[-1][1])
+                ids = np.array([get(w, 0) for w in words(t)], dtype=np.int32)
+                cut = int(np.count_nonzero(ids)) > shard_words
+                if cut and held:
+                    yield rows(flush())
+                own: list[tuple[int, int, int, int]] = []
+                arrays, starts = [], []
+                for a, s in stretches(ids, it.length, shard_words):
+                    arrays.append(a)
+                    starts.append(s)
+                    size += len(a) + 1
+                    if cut and size >= shard_words:
+                        held.append((r, arrays, starts))
+                        own += flush()
+                        arrays, starts = [], []
+                if arrays:
+                    held.append((r, arrays, starts))
+                if cut:
+                    own += flush() if held else []
+                    yield rows([(r, *s) for s in merged([s[1:] for s in own])])
             if size >= shard_words:
-                yield flush()
-                held, size = [], 0
+                yield rows(flush())
         if held:
-            yield flush()
+            yield rows(flush())
 
     return spread(docs.select(doc_id, text), doc_id).mapInArrow(run, f"`{doc_id}` long, item_id long, first_word long, end_word long")
 

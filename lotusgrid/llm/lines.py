@@ -7,8 +7,8 @@ is read (variants of a line that share the one form meet there, in one bitmap),
 what is shuffled is one row per line and input partition. Bitmaps of one container
 are united exactly and their cardinalities added up; a line is over-repeated when
 its documents number at least ``least`` and at least ``share`` of the source's
-documents. Occurrences are then read back from the same rows by looking each
-document up in the line's bitmap.
+documents. The occurrences of its documents stand beside the bitmaps, so they are looked
+up by the line in the same rows; ``without_repeated`` takes the lines out of the texts.
 
 Defined results: null and empty bodies count as documents of their source and have
 no lines; empty lines never count; a document counts once per line, all its
@@ -137,3 +137,13 @@ def repeated_lines(df: DataFrame, record: str = "record_id", url: str = "url", b
 
     hit = maps.join(over, ["site", "line"], "left_semi").select("box", "places")
     return hit.mapInArrow(places, f"`{record}` long, line_no long")
+
+
+def without_repeated(df: DataFrame, record: str = "record_id", url: str = "url", body: str = "body", **how) -> DataFrame:
+    """The table with the over-repeated lines taken out of ``body``; a null body stays null, other columns stay as they are.
+
+    The lines are told by record and number, so record ids are taken to be unique.
+    """
+    hits = repeated_lines(df, record, url, body, **how).groupBy(record).agg(F.collect_set("line_no").alias("_gone"))
+    kept = F.filter(F.split(body, "\n", -1), lambda _, i: ~F.array_contains("_gone", (i + 1).cast("long")))
+    return df.join(hits, record, "left").withColumn(body, F.when(F.col("_gone").isNull(), F.col(body)).otherwise(F.array_join(kept, "\n"))).drop("_gone")

@@ -6,7 +6,7 @@ that hold their text. A min-cost flow routes each pattern's tokens to the source
 quotas (share x budget). A pattern's capacity is its size once for every allowed
 repetition, the r-th at cost r - 1 (convex), so nothing is repeated while unused text
 would do. The network has patterns and sources for nodes, not documents, and is
-solved on the driver; sources at most ``MAX_SOURCES``.
+solved on the driver; sources and patterns are limited, and more of them an error.
 
 Documents are then selected by seed: each pattern is laid out in seeded order as a
 line of tokens, once per repetition; each source takes a stretch of the line as long
@@ -32,26 +32,15 @@ from pyspark.sql import functions as F
 from ..session import cut, spread
 from .batches import slices
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: How the tokenizer's vocabulary splits text before merging; the public module's own pattern is taken when it is there.
+#: How byte-level vocabularies of the public tokenizers split text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_SOURCES = 64
 BUCKET_ROWS = 20_000
 
 
-def default_pattern() -> str:
-    try:
-        import public_tokenizers
-
-        return public_tokenizers.PATTERN
-    except ImportError:
-        return PATTERN
-
-
-def sized(df: DataFrame, doc_id: str, text: str, source: str, tokenizer: str = TOKENIZER, pattern: str | None = None) -> DataFrame:
-    """(doc, src, h, n): each document's source, text hash and number of tokens."""
+def sized(df: DataFrame, doc_id: str, text: str, source: str, tokenizer: str, pattern: str = PATTERN) -> DataFrame:
+    """(doc, src, h, n): each document's source, text hash and number of tokens; ``tokenizer`` is the path of a vocabulary of ranks."""
     vocabulary = open(tokenizer, "rb").read()
-    pattern = pattern or default_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -116,11 +105,12 @@ def min_cost_flow(patterns: list[tuple[tuple[str, ...], int, int]], quotas: dict
     return {k: cap[e ^ 1] for k, e in routes.items() if cap[e ^ 1]}
 
 
-def mixed(df: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", budget_share: float = 0.5, seed: int = 1, tokenizer: str = TOKENIZER, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mixed(df: DataFrame, targets: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", budget_share: float = 0.5, seed: int = 1, pattern: str = PATTERN, max_patterns: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, n_tokens, uses) and the report (source, target_share, max_repeats, quota_tokens, tokens, share, short).
 
     ``source`` of the mix is the source whose share the uses count for. ``share`` is of the
-    tokens wanted in all (the budget).
+    tokens wanted in all (the budget). More than ``MAX_SOURCES`` sources or more than
+    ``max_patterns`` different sets of sources that hold a text are an error.
     """
     spark = df.sparkSession
     wanted = targets.select(F.col("source").alias("src"), "target_share", "max_repeats").where("source is not null").limit(MAX_SOURCES + 1).collect()
@@ -135,7 +125,9 @@ def mixed(df: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     listed = listed.join(of_text, "h").select("doc", "n", F.struct(F.col("src").alias("own"), "pattern").alias("pattern"))
     order = F.xxhash64("doc", F.lit(seed))
     listed = cut(listed.withColumn("u", order), "mix-listed")
-    sizes = listed.groupBy("pattern").agg(F.sum("n").alias("size"), F.count("*").alias("rows")).collect()
+    sizes = listed.groupBy("pattern").agg(F.sum("n").alias("size"), F.count("*").alias("rows")).limit(max_patterns + 1).collect()
+    if len(sizes) > max_patterns:
+        raise ValueError(f"more than {max_patterns} membership patterns")
     sizes.sort(key=lambda r: (r["pattern"]["own"], r["pattern"]["pattern"]))
     patterns = [(tuple(r["pattern"]["pattern"]), r["size"], repeats[r["pattern"]["own"]]) for r in sizes]
     flow = min_cost_flow(patterns, quotas, repeats)

@@ -57,3 +57,17 @@ def test_found_query_against_brute_force(spark, sf):
         rows = [(r, t, c.cluster(t)) for r, t in zip(pdf.record_id, pdf[f]) if t]
         want |= {(f, min(a[0], b[0]), max(a[0], b[0])) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[2] == b[2] and a[1] != b[1]}
     assert got == want
+
+
+def test_planted_conflicts_are_found():
+    with pytest.raises(ValueError, match="FF21"):
+        c.compile_tables(0xFFFF, {**c.LOOKALIKES, "Ａ": "B"})
+    with pytest.raises(ValueError, match="00A0"):
+        c.compile_tables(0xFFFF, {**c.LOOKALIKES, "\xa0": "x"})
+    with pytest.raises(ValueError):
+        c.compile_tables(0xFFFF, {**c.LOOKALIKES, "q": "х", "ԛ": "q"})  # no fixed point
+
+
+def test_all_of_unicode_and_other_scripts():
+    assert c.canon("\U0002f800") == unicodedata.normalize("NFC", "\U0002f800") != "\U0002f800"
+    assert c.canon("օ") == "o" and c.canon("Ꮇ") == "M" and c.canon("ꓟ") == "M" and c.canon("а́") == "á"

@@ -1,6 +1,7 @@
 import unicodedata
 
 import numpy as np
+import pytest
 
 from lotusgrid.llm import fmindex
 
@@ -42,6 +43,13 @@ def test_dirty_rows(spark):
     assert {tuple(r) for r in fmindex.leaks(d, i, shard_words=1).collect()} == got
     spans = {(r.doc_id, r.item_id): (r.first_word, r.end_word) for r in fmindex.leak_spans(d.where("doc_id = 1"), i).collect()}
     assert spans[(1, 10)] == (2, 2 + len(fmindex.words(item)))
+    whole = sorted(tuple(r) for r in fmindex.leak_spans(d, i).collect())
+    for n in (3, 13, 20):
+        assert sorted(tuple(r) for r in fmindex.leak_spans(d, i, shard_words=n).collect()) == whole
+    with pytest.raises(ValueError, match="blocks"):
+        fmindex.leaks(d, i, max_item_bytes=10)
+    with pytest.raises(ValueError, match="blocks"):
+        fmindex.leaks(d, i, max_item_rows=1)
     assert fmindex.leaks(d.limit(0), i).count() == 0 and fmindex.leaks(d, i.limit(0)).count() == 0
 
 

@@ -43,3 +43,11 @@ def test_found_query_against_brute_force(spark, sf):
     pdf = spark.read.parquet(f"{at}/manifest.parquet").toPandas()
     want = brute(list(zip(pdf.record_id.tolist(), pdf.url, pdf.body)))
     assert want and sorted(tuple(r) for r in entry.queries()["p4_found"](spark, at).collect()) == want
+
+
+def test_without_repeated(spark):
+    rows = [(k, f"https://a.example/{k}", f"chung\nriêng {k}\n\nＣhung\nchung") for k in range(6)] + [(10, "https://a.example/", None), (11, "https://a.example/", ""), (12, None, "chung"), (13, "https://b.example/", "chung\n")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "record_id long, url string, body string, line_no int")
+    got = {r.record_id: r.body for r in lines.without_repeated(df).collect()}
+    assert got == {**{k: f"riêng {k}\n" for k in range(6)}, 10: None, 11: "", 12: "chung", 13: "chung\n"}
+    assert lines.without_repeated(df).columns == df.columns and lines.without_repeated(df.limit(0)).count() == 0
