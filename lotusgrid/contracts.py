@@ -58,6 +58,11 @@ def wrong_group_sizes(df: DataFrame, key: str, expected: int, all_keys: DataFram
     return n.where(F.col("n_rows") != expected)
 
 
+def distinct_per_group(df: DataFrame, group: str, key: str) -> DataFrame:
+    """Number of different keys of each group (A3, U4)."""
+    return df.select(group, key).distinct().groupBy(group).agg(F.count("*").alias("n"))
+
+
 def key_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, side) of keys of one table that the other lacks; empty when the key sets are equal."""
     x, y = a.select(key).distinct(), b.select(key).distinct()

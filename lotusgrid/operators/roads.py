@@ -55,6 +55,10 @@ def is_closed_polygon(refs: Column) -> Column:
     return (F.size(refs) >= 4) & (F.element_at(refs, 1) == F.element_at(refs, -1))
 
 
+def is_building(tags: Column) -> Column:
+    return F.coalesce(F.map_contains_key(tags, "building"), F.lit(False))
+
+
 def is_water(tags: Column) -> Column:
     return F.coalesce(tag(tags, "natural") == "water", F.lit(False)) | F.coalesce(tag(tags, "waterway").isin("riverbank", "dock"), F.lit(False)) | F.coalesce(tag(tags, "landuse") == "reservoir", F.lit(False))
 
@@ -116,6 +120,37 @@ def lengths_in_cells(segs: DataFrame, cells: DataFrame, step: float) -> DataFram
     return pairs.withColumn("length", inside).where("length > 0").drop("ring")
 
 
+def once(segs: DataFrame) -> DataFrame:
+    """Segments without those that a line retraces, in either direction (G5); partly overlapping ones stay."""
+    a, b = (F.struct(F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")) for e in "ab")
+    s = segs.withColumns({"_lo": F.least(a, b), "_hi": F.greatest(a, b)})
+    return s.dropDuplicates(["id", "_lo", "_hi"]).drop("_lo", "_hi")
+
+
+def lengths_by_class(pieces: DataFrame, key: str = "h3_index") -> DataFrame:
+    """Length by road class, zero where there is none, and the major-road flag, of pieces ``(key, highway, length)``."""
+    cls = road_class(F.col("highway"))
+    sums = [F.coalesce(F.sum(F.when(cls == k, F.col("length"))), F.lit(0.0)).alias(f"road_length_{k}") for k in ("primary", "secondary", "residential")]
+    return pieces.groupBy(key).agg(*sums, F.coalesce(F.bool_or(is_major(F.col("highway"))), F.lit(False)).alias("has_major_road"))
+
+
+def trainable(cells: DataFrame) -> DataFrame:
+    """Cells with a primary, secondary or greater road, which models are trained on."""
+    return cells.where("has_major_road")
+
+
+def boxes_join(a: DataFrame, b: DataFrame, box_a: str, box_b: str, step: float) -> DataFrame:
+    """Rows of both tables whose boxes (x0, y0, x1, y1) overlap, touching included.
+
+    Boxes meet in the tiles of a grid of ``step`` and are compared only in the tile of
+    the lower left corner of their overlap, so each pair comes once.
+    """
+    tiled = lambda d, c: d.withColumn("_tx", F.explode(_span(F.col(f"{c}.x0"), F.col(f"{c}.x1"), step))).withColumn("_ty", F.explode(_span(F.col(f"{c}.y0"), F.col(f"{c}.y1"), step)))
+    hit = tiled(a, box_a).join(tiled(b, box_b), ["_tx", "_ty"]).where(geo.boxes_meet(F.col(box_a), F.col(box_b)))
+    corner = lambda v: F.floor(F.greatest(f"{box_a}.{v}", f"{box_b}.{v}") / step)
+    return hit.where((F.col("_tx") == corner("x0")) & (F.col("_ty") == corner("y0"))).drop("_tx", "_ty")
+
+
 def projected(df: DataFrame, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
     u = geo.utm(F.col(lon), F.col(lat))
     return df.withColumn("_u", u).withColumn(x, F.col("_u.easting")).withColumn(y, F.col("_u.northing")).drop("_u")
@@ -138,10 +173,7 @@ def road_features(cells: DataFrame, nodes: DataFrame, ways: DataFrame, step: flo
     roads = eligible(ways)
     pts = way_points(roads, nodes)
     segs = segments(projected(pts.where("lon is not null")).select("id", "pos", F.col("x").alias("lon"), F.col("y").alias("lat")))
-    cut_ = lengths_in_cells(segs, flat, step).join(roads.select("id", "highway"), "id")
-    cls = road_class(F.col("highway"))
-    by_class = [F.coalesce(F.sum(F.when(cls == k, F.col("length"))), F.lit(0.0)).alias(f"road_length_{k}") for k in ("primary", "secondary", "residential")]
-    lengths = cut_.groupBy("h3_index").agg(*by_class, F.bool_or(is_major(F.col("highway"))).alias("has_major_road"))
+    lengths = lengths_by_class(lengths_in_cells(once(segs), flat, step).join(roads.select("id", "highway"), "id"))
     marks = nodes.select("id", "lon", "lat", is_signal(F.col("tags")).alias("signal"), is_crossing(F.col("tags")).alias("crossing"))
     marks = marks.join(intersections(roads).select(F.col("node").alias("id"), F.lit(True).alias("meet")), "id", "left").withColumn("meet", F.coalesce("meet", F.lit(False)))
     marks = projected(marks.where("(signal or crossing or meet) and lon is not null"))

@@ -20,15 +20,15 @@ def decode_payload(payloads: DataFrame) -> DataFrame:
     return z.select("h3_index", F.to_timestamp_ntz("z.time").alias("ts"), *[F.col(f"z.{f}") for f in HOURLY])
 
 
-def six_hour(hourly: DataFrame, offset: str = "+07:00") -> DataFrame:
-    """Means, sum, minimum and maximum by cell and six-hour bin (A1). NaN counts as missing, as do null keys."""
+def six_hour(hourly: DataFrame, offset: str = "+07:00", counts: bool = False) -> DataFrame:
+    """Means, sum, minimum and maximum by cell and six-hour bin (A1). NaN counts as missing, as do null keys. ``counts`` adds the number of rows, ``n_rows``."""
     v = {f: F.when(~F.isnan(f), F.col(f)) for f in HOURLY}
     rows = hourly.where("h3_index is not null and ts is not null").withColumn("bin", timebin.floor_bin(F.col("ts")))
     out = rows.groupBy("h3_index", "bin").agg(
         F.avg(v["temperature_2m"]).alias("temp_mean"), F.coalesce(F.sum(v["precipitation"]), F.lit(0.0)).alias("precipitation_sum"), F.min(v["visibility"]).alias("visibility_min"),
-        F.max(v["wind_speed_10m"]).alias("wind_speed_max"), F.avg(v["relative_humidity_2m"]).alias("humidity_mean"),
+        F.max(v["wind_speed_10m"]).alias("wind_speed_max"), F.avg(v["relative_humidity_2m"]).alias("humidity_mean"), F.count("*").alias("n_rows"),
     )
-    return out.select("h3_index", timebin.iso(F.col("bin"), offset).alias("time_bin"), "temp_mean", "precipitation_sum", "visibility_min", "wind_speed_max", "humidity_mean")
+    return out.select("h3_index", timebin.iso(F.col("bin"), offset).alias("time_bin"), "temp_mean", "precipitation_sum", "visibility_min", "wind_speed_max", "humidity_mean", *["n_rows"] * counts)
 
 
 def checked(weather: DataFrame, cells: DataFrame, bins_each: int) -> DataFrame:

@@ -97,7 +97,7 @@ def p3_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("sec", sec).where("sec is not null").groupBy("site").agg(F.count("*").alias("n"), F.sum(F.col("wall") - F.col("sec")).alias("offset_sum"))
 
 
-def _p3_sql(result: str) -> str:
+def p3_sql(result: str, all_bins: bool = False) -> str:
     """The same notations, calendars and zones in SQL (needs the database's zone tables)."""
     names = ["y", "mo", "d", "p", "q", "name", "h", "mi", "s", "half", "zone"]
     parts = []
@@ -113,7 +113,7 @@ def _p3_sql(result: str) -> str:
     WITH v AS (
       SELECT 'manifest' AS tab, m.record_id AS row_id, trim(regexp_replace(published_at, '\\s+', ' ', 'g')) AS v, site, tz, coalesce(date_order, 'dmy') AS ord
       FROM (SELECT *, {site} AS site FROM manifest) m LEFT JOIN sites USING (site) WHERE published_at IS NOT NULL
-      UNION ALL SELECT 'weather', reading_id, trim(time_bin), NULL, '{CITY_ZONE}', 'dmy' FROM weather WHERE time_bin IS NOT NULL AND NOT regexp_matches(time_bin, '{CANONICAL_BIN}')),
+      UNION ALL SELECT 'weather', reading_id, trim(time_bin), NULL, '{CITY_ZONE}', 'dmy' FROM weather WHERE time_bin IS NOT NULL AND ({str(all_bins).lower()} OR NOT regexp_matches(time_bin, '{CANONICAL_BIN}'))),
      g AS ({" UNION ALL ".join(parts)}),
      n AS (SELECT *, CASE WHEN name <> '' THEN list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], lower(name[1:3])) WHEN mo <> '' THEN try_cast(mo AS INT) WHEN ord = 'mdy' THEN try_cast(p AS INT) ELSE try_cast(q AS INT) END AS month,
        CASE WHEN d <> '' THEN try_cast(d AS INT) WHEN ord = 'mdy' THEN try_cast(q AS INT) ELSE try_cast(p AS INT) END AS day, upper(replace(half, '.', '')) AS ap, replace(trim(zone, '()'), ' ', '') AS z FROM g),
@@ -133,4 +133,4 @@ P3_ZONES = "SELECT site, count(*) AS n, sum(epoch(ts) - epoch(inst))::BIGINT AS
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_containing, p3_found, p3_zones)}
-SQL = {"p1_found": P1_SQL, "p1_containing": P1_CONTAINING_SQL, "p3_found": _p3_sql(P3_FOUND), "p3_zones": _p3_sql(P3_ZONES)}
+SQL = {"p1_found": P1_SQL, "p1_containing": P1_CONTAINING_SQL, "p3_found": p3_sql(P3_FOUND), "p3_zones": p3_sql(P3_ZONES)}

@@ -6,19 +6,19 @@ Timestamps without zone are compared as text, doubles rounded to fixed places.
 from __future__ import annotations
 
 import datetime
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import contracts
-from ..functions import geo, text, timebin
+from ..functions import geo, render, text, timebin
 from ..functions import lexicon as L
-from ..operators import evaluate, geocode, panel, roads, times, weather
-from ..session import shared_dir, spread, table
-from ..sources import manifest, sitemap
+from ..operators import evaluate, geocode, panel, population, roads, times, weather
+from ..session import shared_path, spread, table
+from ..sources import manifest, report, sitemap
 from ..streaming import bins
+from .problems import p3_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,16 +50,14 @@ CITY_ZONE = "Asia/Ho_Chi_Minh"
 
 
 @query("""
-SELECT user_id, strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%dT%H:%M:%S') AS bin, round(avg(value), 6) AS temp_mean,
+SELECT user_id, strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%dT%H:%M:%S') || '+07:00' AS bin, round(avg(value), 6) AS temp_mean,
  round(sum(value), 6) AS precipitation_sum, round(min(value), 6) AS visibility_min, round(max(value), 6) AS wind_speed_max, count(*) AS n_rows
 FROM events GROUP BY 1, 2""")
 def q_timebin_6h_agg(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").withColumn("b", timebin.floor_bin(F.col("ts")))
-    out = e.groupBy("user_id", "b").agg(
-        r6(F.avg("value")).alias("temp_mean"), r6(F.sum("value")).alias("precipitation_sum"), r6(F.min("value")).alias("visibility_min"),
-        r6(F.max("value")).alias("wind_speed_max"), F.count("*").alias("n_rows"),
-    )
-    return out.select("user_id", F.date_format("b", ISO).alias("bin"), "temp_mean", "precipitation_sum", "visibility_min", "wind_speed_max", "n_rows")
+    """A1 over the events' value as every hourly field."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("h3_index"), "ts", *[F.col("value").alias(f) for f in weather.HOURLY])
+    out = weather.six_hour(e, counts=True).withColumnsRenamed({"h3_index": "user_id", "time_bin": "bin"})
+    return out.select("user_id", "bin", *[r6(c).alias(c) for c in ("temp_mean", "precipitation_sum", "visibility_min", "wind_speed_max")], "n_rows")
 
 
 @query("""
@@ -67,14 +65,14 @@ SELECT user_id AS key, strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%dT%
 FROM events GROUP BY 1, 2""")
 def q_stream_bins(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming twin of the bins, run over the table as a stream until its input is used up."""
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     schema = table(spark, sf, "events").schema
     at = F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")))
     rows = spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet").withColumn("ts", at)  # a pattern: a stream does not take the name of one file
-    q = bins.write_complete(bins.six_hour_stream(rows, "ts", "user_id", "value"), f"{path}/table", f"{path}/state")
+    q = bins.write_updates(bins.six_hour_stream(rows, "ts", "user_id", "value"), f"{path}/table", f"{path}/state")
     q.awaitTermination()
     wall = timebin.local_wall(F.col("bin"), "UTC")
-    return spark.read.parquet(f"{path}/table").select("key", F.date_format(wall, ISO).alias("bin"), r6("mean").alias("mean"), r6("total").alias("total"), "low", "high", "n")
+    return bins.read_updates(spark, f"{path}/table", ["key", "bin"]).select("key", F.date_format(wall, ISO).alias("bin"), r6("mean").alias("mean"), r6("total").alias("total"), "low", "high", "n")
 
 
 @query("SELECT DISTINCT strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%dT%H:%M:%S') || '+07:00' AS time_bin FROM events")
@@ -82,23 +80,18 @@ def q_timebin_iso(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(timebin.iso(timebin.floor_bin(F.col("ts"))).alias("time_bin")).distinct()
 
 
-@query("""
-SELECT h3_index, time_bin, round(avg(temp_mean), 6) AS temp_mean, round(coalesce(sum(precipitation_sum), 0), 6) AS precipitation_sum, round(min(visibility_min), 6) AS visibility_min,
- round(max(wind_speed_max), 6) AS wind_speed_max, round(avg(humidity_mean), 6) AS humidity_mean, count(*) AS n_rows FROM weather
-WHERE regexp_matches(time_bin, '^\\d{4}-\\d{2}-\\d{2}T\\d{2}:00:00\\+07:00$') GROUP BY 1, 2""")
+@query(p3_sql(f"""
+, b AS (SELECT row_id, strftime(time_bucket(INTERVAL '6 hours', inst + INTERVAL 7 HOUR), '%Y-%m-%dT%H:%M:%S') || '+07:00' AS time_bin FROM r WHERE tab = 'weather' AND inst IS NOT NULL)
+SELECT h3_index, b.time_bin, round(avg(temp_mean), 6) AS temp_mean, round(coalesce(sum(precipitation_sum), 0), 6) AS precipitation_sum, round(min(visibility_min), 6) AS visibility_min,
+ round(max(wind_speed_max), 6) AS wind_speed_max, round(avg(humidity_mean), 6) AS humidity_mean, count(*) AS n_rows FROM weather w JOIN b ON b.row_id = w.reading_id WHERE h3_index IS NOT NULL GROUP BY 1, 2""", all_bins=True))
 def q_weather_bins(spark: SparkSession, sf: str) -> DataFrame:
-    """A1 over the weather table's own bins: repeats of a cell and bin are united, in whatever notation the bin is written.
-
-    The SQL knows one notation only, so groups that hold others differ from it.
-    """
+    """A1 over the weather table: readings of a cell and bin are united, in whatever notation the bin is written."""
     w = table(spark, sf, "weather").withColumn("t", times.parsed(F.col("time_bin"), F.lit("dmy")))
     sec = times.instants(F.col("t.wall"), F.col("t.off"), F.lit(CITY_ZONE))
-    wall = timebin.local_wall(F.timestamp_seconds(sec), CITY_ZONE)
-    w = w.withColumn("time_bin", timebin.iso(wall)).where("time_bin is not null")
-    return w.groupBy("h3_index", "time_bin").agg(
-        r6(F.avg("temp_mean")).alias("temp_mean"), r6(F.coalesce(F.sum("precipitation_sum"), F.lit(0.0))).alias("precipitation_sum"), r6(F.min("visibility_min")).alias("visibility_min"),
-        r6(F.max("wind_speed_max")).alias("wind_speed_max"), r6(F.avg("humidity_mean")).alias("humidity_mean"), F.count("*").alias("n_rows"),
-    )
+    fields = dict(zip(weather.HOURLY, ("temp_mean", "precipitation_sum", "visibility_min", "wind_speed_max", "humidity_mean")))
+    hourly = w.withColumn("ts", timebin.local_wall(F.timestamp_seconds(sec), CITY_ZONE)).select("h3_index", "ts", *[F.col(c).alias(f) for f, c in fields.items()])
+    out = weather.six_hour(hourly, counts=True)
+    return out.select("h3_index", "time_bin", *[r6(c).alias(c) for c in fields.values()], "n_rows")
 
 
 @query("""
@@ -204,7 +197,7 @@ def q_last5_children(spark: SparkSession, sf: str) -> DataFrame:
 def q_crawl_counters(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(F.col("record_id") % 7 == 0, "failed").when(F.col("body").isNull(), "skipped").otherwise("ok")
     m = table(spark, sf, "manifest").select(F.substring_index("url", "://", 1).alias("url"), "batch", status.alias("status"))
-    return m.groupBy("url", "batch", "status").agg(F.count("*").alias("n"))
+    return manifest.counters(m, ["url", "batch", "status"])
 
 
 # ---------------------------------------------------------------- article text
@@ -215,20 +208,61 @@ def _articles(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("record_id", text.nfc(F.col("title")).alias("title"), text.nfc(F.col("body")).alias("body"))
 
 
-@query()
+NOT_WORD = r"[^\p{L}\p{M}\p{N}_]"
+SPACE = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def re2(pattern: str, fold: bool = True) -> str:
+    """A pattern in the database's dialect, which has neither Unicode word bounds nor a look ahead."""
+    p = pattern.replace(r"(?:khoảng\s+)?\b", r"\b").replace("(?! tải)", r"(?:$|[^ ]| (?:$|[^tT]|[tT](?:$|[^ảẢ]|[ảẢ](?:$|[^iI]))))")
+    p = p.replace(r"\s", SPACE).replace(r"\d", r"\p{Nd}")
+    if p.startswith(r"\b"):
+        p = f"(?:^|{NOT_WORD})" + p[2:]
+    if p.endswith(r"\b"):
+        p = p[:-2] + f"(?:$|{NOT_WORD})"
+    return ("(?i)" if fold else "") + p.replace("'", "''")
+
+
+def _test(column: str, pattern: str, fold: bool = True) -> str:
+    return f"regexp_matches({column}, '{re2(pattern, fold)}')"
+
+
+def _hits(words: list[str]) -> str:
+    return f"list_filter({_lit(words)}, lambda w: contains(low, lower(w)))"
+
+
+_KINDS = ", ".join(f"CASE WHEN {_test('t', p)} THEN '{k}' END" for k, p in L.VEHICLE_CLASSES.items())
+FLAGS_SQL = f"""
+WITH x AS (SELECT record_id, url, coalesce(nfc_normalize(title), '') AS ti, coalesce(nfc_normalize(body), '') AS b FROM manifest),
+ a AS (SELECT record_id, url, ti || chr(10) || b AS t, b, ti || chr(10) || b[1:600] AS t6, lower(ti || chr(10) || b[1:400]) AS low FROM x),
+ p AS (SELECT *, {_test("t", L.CRASH_VERB)} AS verb, {_test("t", L.VEHICLE)} AS vehicle, {_test("t6", L.AGGREGATE)} AS agg, {_test("t", L.TRANSFER)} AS moved, {_hits(L.DISTRICTS)} AS d, {_hits(L.LANDMARKS)} AS m, {_hits(L.PROVINCES)} AS o,
+   list_filter([{_KINDS}], lambda k: k IS NOT NULL) AS kinds FROM a),
+ s AS (SELECT *, (len(d) + len(m)) * 3 + CASE WHEN contains(low, '{L.CITY}') AND NOT moved THEN 1 ELSE 0 END AS here, len(o) * 3 AS there, len(d) + len(m) > 0 AS strong, verb AND vehicle AND NOT agg AS acc FROM p),
+ v AS (SELECT *, CASE WHEN moved AND NOT strong THEN 'other_province' WHEN here > there THEN 'hanoi' WHEN there > here THEN 'other_province' ELSE 'unknown' END AS verdict,
+   CASE WHEN moved AND NOT strong THEN 'medium' WHEN here = 0 AND there > 0 THEN 'high' WHEN here > 0 AND there = 0 THEN CASE WHEN strong THEN 'high' ELSE 'low' END WHEN here <> there THEN 'medium' ELSE 'low' END AS conf FROM s),
+ f AS (SELECT record_id, url, length(b) AS n_chars, {_test("t", L.EXACT_TIME)} AS has_exact_time, {_test("t", L.VAGUE_TIME)} AS has_vague_time, {_test("t", L.DATE, False)} AS has_date,
+   CASE WHEN {_test("t", L.LOC_PRECISE)} THEN 'precise' WHEN {_test("t", L.STREET, False)} THEN 'street' WHEN {_test("t", L.LOC_COARSE)} THEN 'coarse' ELSE 'none' END AS location_level,
+   array_to_string(kinds, ';') AS vehicles, len(kinds)::INT AS n_vehicle_types, {_test("t", L.CASUALTY)} AS has_casualty, {_test("t", L.CASUALTY_NUMBER)} AS casualty_numeric, {_test("t", L.WEATHER)} AS has_weather,
+   acc AND verdict = 'hanoi' AS filter_keep, acc AND (verdict = 'unknown' OR (verdict = 'hanoi' AND conf = 'low')) AS filter_needs_review, acc AS filter_is_accident, verdict AS filter_location_verdict, conf AS filter_location_confidence,
+   array_to_string(list_filter([CASE WHEN NOT verb THEN '{L.NO_VERB}' END, CASE WHEN NOT vehicle THEN '{L.NO_VEHICLE}' END, CASE WHEN agg THEN '{L.IS_AGGREGATE}' END, CASE WHEN acc AND verdict <> 'hanoi' THEN '{L.AREA}' || verdict END], lambda r: r IS NOT NULL), ';') AS filter_reject_reasons,
+   array_to_string(d[1:3], ';') AS hanoi_districts FROM v)"""
+
+
+@query(f"""{FLAGS_SQL}, u AS ({SLUG_SQL})
+SELECT record_id, filter_keep AS keep, filter_needs_review AS needs_review, filter_is_accident AS is_accident, filter_location_verdict AS location_verdict, filter_location_confidence AS location_confidence, filter_reject_reasons AS reject_reasons
+FROM f JOIN u USING (record_id) WHERE u.passes""")
 def q_two_tier_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """P1 before P3: the cheap url test first, then the text tests, all in one plan. Its patterns have no SQL twin."""
+    """P1 before P3: the cheap url test first, then the text tests, all in one plan."""
     m = table(spark, sf, "manifest").where(text.slug_passes(F.col("url"))).select("record_id", "title", "body")
     m = spread(m, "record_id")
-    m = m.select("record_id", text.nfc(F.col("title")).alias("title"), text.nfc(F.col("body")).alias("body"))
-    m = m.withColumn("acc", text.accident_report(F.col("title"), F.col("body"))).withColumn("loc", text.resolve_location(F.col("title"), F.col("body")))
-    m = m.withColumn("c", text.classify(F.col("acc"), F.col("loc")))
-    return m.select("record_id", "c.keep", "c.needs_review", "acc.is_accident", "loc.location_verdict", "loc.location_confidence", F.array_join("c.reject_reasons", ";").alias("reject_reasons"))
+    m = text.classified(m.select("record_id", text.nfc(F.col("title")).alias("title"), text.nfc(F.col("body")).alias("body")))
+    return m.select("record_id", "keep", "needs_review", "is_accident", "location_verdict", "location_confidence", F.array_join("reject_reasons", ";").alias("reject_reasons"))
 
 
-@query()
+@query(f"{FLAGS_SQL} SELECT record_id, {', '.join(text.FLAGS)} FROM f")
 def q_feature_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return _articles(spark, sf).select("record_id", text.feature_flags(F.col("title"), F.col("body")).alias("f")).select("record_id", "f.*")
+    """the sixteen flags of every article."""
+    return text.analysed(_articles(spark, sf)).select("record_id", *text.FLAGS)
 
 
 _HITS = lambda words: f"len(list_filter({_lit(words)}, lambda w: contains(lower(head), lower(w))))"
@@ -241,7 +275,7 @@ SELECT record_id, score_here, score_there, CASE WHEN score_here > score_there TH
 def q_lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
     """F7's weighted lists with duplicates, without the bare city name, whose context test has no SQL twin."""
     a = _articles(spark, sf).select("record_id", text.glue(F.col("title"), F.col("body"), 400).alias("head"))
-    hits = lambda words: F.size(text._found(F.col("head"), words))  # noqa: E731, SLF001
+    hits = lambda words: F.size(text.found_words(F.lower("head"), words))
     s = a.select("record_id", (hits(L.DISTRICTS) * 3 + hits(L.LANDMARKS) * 3).alias("score_here"), (hits(L.PROVINCES) * 3).alias("score_there"))
     verdict = F.when(F.col("score_here") > F.col("score_there"), "hanoi").when(F.col("score_there") > F.col("score_here"), "other_province").otherwise("unknown")
     return s.withColumn("verdict", verdict)
@@ -250,7 +284,7 @@ def q_lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, md5(text[1:400]) AS head_400, md5(text[1:600]) AS head_600, length(text) AS n_chars FROM documents WHERE text IS NOT NULL")
 def q_head_truncate(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").where("text is not null")
-    return d.select("doc_id", F.md5(F.substring("text", 1, 400)).alias("head_400"), F.md5(F.substring("text", 1, 600)).alias("head_600"), F.length("text").alias("n_chars"))
+    return d.select("doc_id", F.md5(text.head(F.col("text"), 400)).alias("head_400"), F.md5(text.head(F.col("text"), 600)).alias("head_600"), F.length("text").alias("n_chars"))
 
 
 REASONS_SQL = """list_filter([CASE WHEN title IS NULL THEN 'no title' END, CASE WHEN body IS NULL OR length(body) < 200 THEN 'short body' END,
@@ -268,25 +302,34 @@ def q_reject_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.reason_counts(table(spark, sf, "manifest").select(F.array_join(reasons, ";").alias("reject_reasons")), "reject_reasons")
 
 
-@query("""
-WITH m AS (SELECT count(*) AS n_total, count(*) FILTER (body IS NOT NULL AND length(body) >= 200) AS n_ok, count(*) FILTER (title IS NOT NULL) AS n_title,
- count(*) FILTER (published_at LIKE '____-__-__T%') AS n_iso FROM manifest)
-SELECT *, round_even(100.0::DOUBLE * n_ok / n_total, 0)::BIGINT || '%' AS pct_ok, round_even(100.0::DOUBLE * n_iso / n_total, 0)::BIGINT || '%' AS pct_iso,
- CASE WHEN n_ok * 1.0 / n_total > 0.95 THEN 'OK' ELSE 'CAN XEM LAI' END AS verdict_ok, CASE WHEN n_iso * 1.0 / n_total > 0.4 THEN 'OK' ELSE 'CAN XEM LAI' END AS verdict_iso FROM m""")
+_COUNTED = {
+    "exact_time": "has_exact_time", "vague_only": "has_vague_time AND NOT has_exact_time", "precise": "location_level = 'precise'", "street": "location_level = 'street'", "coarse": "location_level = 'coarse'", "vehicle": "n_vehicle_types > 0",
+    "casualty": "has_casualty", "casualty_number": "casualty_numeric", "weather": "has_weather", "kept": "filter_keep", "review": "filter_needs_review",
+}
+
+
+@query(f"""{FLAGS_SQL}, k AS (SELECT *, n_chars >= 200 AS parsed FROM f),
+ m AS (SELECT count(*) AS total, count(*) FILTER (parsed) AS parsed, {", ".join(f"count(*) FILTER (parsed AND {c}) AS {n}" for n, c in _COUNTED.items())} FROM k)
+SELECT *, round_even(100.0::DOUBLE * parsed / total, 0)::BIGINT || '%' AS pct_parsed, round_even(100.0::DOUBLE * kept / parsed, 0)::BIGINT || '%' AS pct_kept FROM m""")
 def q_pilot_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """One global aggregate of conditional counts, per cents and strict thresholds."""
-    m = table(spark, sf, "manifest").agg(
-        F.count("*").alias("n_total"), F.count_if(F.length("body") >= 200).alias("n_ok"), F.count("title").alias("n_title"), F.count_if(F.col("published_at").like("____-__-__T%")).alias("n_iso"),
-    )
-    verdict = lambda n, t: F.when(F.col(n) / F.col("n_total") > t, "OK").otherwise("CAN XEM LAI")
-    return m.select("*", text.pct(F.col("n_ok"), F.col("n_total")).alias("pct_ok"), text.pct(F.col("n_iso"), F.col("n_total")).alias("pct_iso"), verdict("n_ok", 0.95).alias("verdict_ok"), verdict("n_iso", 0.4).alias("verdict_iso"))
+    """One global aggregate of conditional counts over the flags, and per cents."""
+    a = text.analysed(_articles(spark, sf)).withColumn("parsed_ok", report.parsed_ok(F.col("body")))
+    return report.metrics(a).select("*", text.pct(F.col("parsed"), F.col("total")).alias("pct_parsed"), text.pct(F.col("kept"), F.col("parsed")).alias("pct_kept"))
 
 
-@query()
+@query("""
+WITH m AS (SELECT record_id, coalesce(title, '') AS ti, body FROM manifest WHERE body IS NOT NULL),
+ t AS (SELECT record_id, ti, regexp_replace(regexp_replace(ti || chr(10) || body, '[ \t\x0b\f\r]+', ' ', 'g'), '\\s*\n\\s*', chr(10), 'g') AS t FROM m)
+SELECT record_id, length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS n_chars, trim(regexp_replace(ti, '\\s+', ' ', 'g')) AS title, '2024-05-01' AS date FROM t""")
 def q_html_text(spark: SparkSession, sf: str) -> DataFrame:
-    """S15 over pages made of the manifest's fields."""
-    html = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title><script>var x = 1;</script></head><body><p>"), F.replace("body", F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p></body></html>"))
-    return table(spark, sf, "manifest").where("body is not null").select("record_id", F.length(text.html_text(html)).alias("n_chars"))
+    """S15 over pages made of the manifest's fields, between a menu and a footer."""
+    c = F.coalesce("title", F.lit(""))
+    html = F.concat(
+        F.lit("<html><head><title>"), c, F.lit("</title><meta property='article:published_time' content='2024-05-01'><script>var x = 1;</script></head><body><nav>Menu <a href='/'>x</a></nav><p>"),
+        F.replace("body", F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p><footer>&copy; x</footer></body></html>"),
+    )
+    m = table(spark, sf, "manifest").where("body is not null").withColumn("html", html).withColumn("meta", text.page_meta(F.col("html")))
+    return m.select("record_id", F.length(text.html_text(F.col("html"))).alias("n_chars"), "meta.title", "meta.date")
 
 
 @query("""
@@ -294,9 +337,7 @@ WITH t AS (SELECT md5(text) AS h, min(doc_id) AS representative, count(*) AS n_c
 SELECT representative, n_copies, sources FROM t WHERE n_copies > 1""")
 def q_exact_dup_merge(spark: SparkSession, sf: str) -> DataFrame:
     """J15 (exact), A18: copies of one text merged to one row with all its sources."""
-    d = table(spark, sf, "documents").where("text is not null").groupBy(F.md5("text").alias("h"))
-    d = d.agg(F.min("doc_id").alias("representative"), F.count("*").alias("n_copies"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
-    return d.where("n_copies > 1").select("representative", "n_copies", "sources")
+    return manifest.merge_copies(table(spark, sf, "documents"), "text", "doc_id", "source")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -398,22 +439,8 @@ WAY_KIND = {"R": "primary_link", "A": "secondary", "N": "residential"}
 def q_class_pivot_sum(spark: SparkSession, sf: str) -> DataFrame:
     h = F.create_map(*[F.lit(x) for kv in WAY_KIND.items() for x in kv])[F.col("l_returnflag")]
     li = table(spark, sf, "lineitem").withColumn("highway", h)
-    sums = [F.round(F.coalesce(F.sum(F.when(roads.road_class(F.col("highway")) == k, F.col("l_quantity"))), F.lit(0.0)), 3).alias(f"road_length_{k}") for k in ("primary", "secondary", "residential")]
-    return li.groupBy(F.col("l_suppkey").alias("id")).agg(*sums, F.bool_or(roads.is_major(F.col("highway"))).alias("has_major_road"))
-
-
-@query("""
-WITH c AS (SELECT p_brand, CASE WHEN p_size <= 10 THEN 'n_schools' WHEN p_size <= 12 THEN 'n_hospitals' WHEN p_size BETWEEN 20 AND 30 THEN 'n_commercial_poi' END AS k FROM part)
-SELECT p_brand AS brand, count(*) FILTER (k = 'n_schools') AS n_schools, count(*) FILTER (k = 'n_hospitals') AS n_hospitals, count(*) FILTER (k = 'n_commercial_poi') AS n_commercial_poi FROM c GROUP BY 1""")
-def q_poi_pivot_zero_fill(spark: SparkSession, sf: str) -> DataFrame:
-    size = F.col("p_size")
-    tags = F.map_filter(F.create_map(
-        F.lit("amenity"), F.when(size <= 10, "school").when(size <= 12, "hospital"), F.lit("shop"), F.when(size <= 30, F.when(size >= 20, "yes")),
-    ), lambda _, v: v.isNotNull())
-    p = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), roads.poi_category(tags).alias("category"))
-    brands = p.select("brand").distinct()
-    got = p.where("category is not null").groupBy("brand").pivot("category", ["n_schools", "n_hospitals", "n_commercial_poi"]).count()
-    return brands.join(got, "brand", "left").fillna(0)
+    lengths = roads.lengths_by_class(li.select(F.col("l_suppkey").alias("id"), "highway", F.col("l_quantity").cast("double").alias("length")), "id")
+    return lengths.select("id", *[F.round(f"road_length_{k}", 3).alias(f"road_length_{k}") for k in ("primary", "secondary", "residential")], "has_major_road")
 
 
 ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
@@ -462,7 +489,7 @@ def q_km_marker(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT 's' || s_suppkey % 40 AS k, (s_suppkey % 53 * 10)::DOUBLE AS ax, (s_suppkey % 47 * 10)::DOUBLE AS ay, (s_suppkey % 53 * 10 + s_suppkey % 9 * 30 - 120)::DOUBLE AS bx, (s_suppkey % 47 * 10 + s_suppkey % 7 * 40 - 120)::DOUBLE AS "by" FROM supplier),
- r AS (SELECT p_partkey AS request, 's' || p_partkey % 40 AS ka, 's' || p_partkey * 7 % 40 AS kb FROM part WHERE p_size <= 20 AND p_partkey % 40 <> p_partkey * 7 % 40),
+ r AS (SELECT p_partkey AS request, 's' || p_partkey % 40 AS ka, 's' || p_partkey * 7 % 40 AS kb FROM part WHERE p_partkey % 40 <> p_partkey * 7 % 40),
  j AS (SELECT request, a.ax, a.ay, a.bx, a."by", b.ax AS cx, b.ay AS cy, b.bx AS dx, b."by" AS dy FROM r JOIN s a ON a.k = ka JOIN s b ON b.k = kb),
  d AS (SELECT *, (bx - ax) * (dy - cy) - ("by" - ay) * (dx - cx) AS den FROM j), t AS (SELECT *, ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den AS t, ((cx - ax) * ("by" - ay) - (cy - ay) * (bx - ax)) / den AS u FROM d WHERE den <> 0)
 SELECT request, round(x, 6) AS x FROM (SELECT request, min(ax + t * (bx - ax)) AS x FROM t WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 GROUP BY 1)""")
@@ -472,23 +499,21 @@ def q_street_crossing(spark: SparkSession, sf: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("s"), (c % 40).cast("string"))
     d = lambda c: c.cast("double")
     segs = table(spark, sf, "supplier").select(name(k).alias("name"), d(k % 53 * 10).alias("ax"), d(k % 47 * 10).alias("ay"), d(k % 53 * 10 + k % 9 * 30 - 120).alias("bx"), d(k % 47 * 10 + k % 7 * 40 - 120).alias("by"))
-    asked = table(spark, sf, "part").where("p_size <= 20 and p_partkey % 40 <> p_partkey * 7 % 40").select(p.alias("request"), name(p).alias("street_a"), name(p * 7).alias("street_b"))
+    asked = table(spark, sf, "part").where("p_partkey % 40 <> p_partkey * 7 % 40").select(p.alias("request"), name(p).alias("street_a"), name(p * 7).alias("street_b"))
     return geocode.crossings(asked, segs, 100.0).select("request", r6("x").alias("x"))
 
 
 @query("""
-WITH a AS (SELECT p_partkey AS id, p_partkey % 200 * 1.0 AS x0, p_partkey % 200 + p_size % 7 * 1.0 AS x1, p_partkey % 150 * 1.0 AS y0, p_partkey % 150 + p_size % 5 * 1.0 AS y1 FROM part WHERE p_size <= 8),
+WITH a AS (SELECT p_partkey AS id, p_partkey % 200 * 1.0 AS x0, p_partkey % 200 + p_size % 7 * 1.0 AS x1, p_partkey % 150 * 1.0 AS y0, p_partkey % 150 + p_size % 5 * 1.0 AS y1 FROM part),
  b AS (SELECT s_suppkey AS sid, s_suppkey % 190 * 1.0 AS x0, s_suppkey % 190 + 3.0 AS x1, s_suppkey % 140 * 1.0 AS y0, s_suppkey % 140 + 4.0 AS y1 FROM supplier)
 SELECT id, sid FROM a JOIN b ON a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0""")
 def q_range_join_bbox(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes meet in grid tiles first, then the four inclusive comparisons."""
     k, s = F.col("p_partkey"), F.col("s_suppkey")
     box = lambda x0, x1, y0, y1: F.struct((x0 * 1.0).alias("x0"), (x1 * 1.0).alias("x1"), (y0 * 1.0).alias("y0"), (y1 * 1.0).alias("y1"))
-    a = table(spark, sf, "part").where("p_size <= 8").select(k.alias("id"), box(k % 200, k % 200 + F.col("p_size") % 7, k % 150, k % 150 + F.col("p_size") % 5).alias("a"))
+    a = table(spark, sf, "part").select(k.alias("id"), box(k % 200, k % 200 + F.col("p_size") % 7, k % 150, k % 150 + F.col("p_size") % 5).alias("a"))
     b = table(spark, sf, "supplier").select(s.alias("sid"), box(s % 190, s % 190 + 3, s % 140, s % 140 + 4).alias("b"))
-    tile = lambda d, c: d.withColumn("tx", F.explode(roads._span(F.col(f"{c}.x0"), F.col(f"{c}.x1"), 8.0))).withColumn("ty", F.explode(roads._span(F.col(f"{c}.y0"), F.col(f"{c}.y1"), 8.0)))  # noqa: E731, SLF001
-    hit = tile(a, "a").join(tile(b, "b"), ["tx", "ty"]).where(geo.boxes_meet(F.col("a"), F.col("b")))
-    return hit.select("id", "sid").distinct()
+    return roads.boxes_join(a, b, "a", "b", 8.0).select("id", "sid")
 
 
 HEX = [(4, 0), (2, 3), (-2, 3), (-4, 0), (-2, -3), (2, -3), (4, 0)]
@@ -537,13 +562,42 @@ def q_line_clip_length(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_HEX_SQL}, p AS (SELECT p_partkey % 40 - 4 AS x, p_partkey % 33 - 3 AS y, CASE WHEN p_size % 9 <> 0 THEN p_retailprice END AS value FROM part),
  z AS (SELECT h3_index, sum(value) AS v FROM p JOIN h ON {_HALF_PLANES} GROUP BY 1) SELECT h.h3_index, round(coalesce(v, 0), 4) AS population FROM h LEFT JOIN z USING (h3_index)""")
 def q_zonal_sum(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators import population
-
     k = F.col("p_partkey")
     px = table(spark, sf, "part").select((k % 40 - 4).cast("double").alias("lon"), (k % 33 - 3).cast("double").alias("lat"), F.when(F.col("p_size") % 9 != 0, F.col("p_retailprice")).alias("value"))
     return population.zonal_sum(px, _hexes(spark, sf), 8.0).withColumn("population", r6("population", 4))
 
 
+_POI = "CASE WHEN k % 5 = 0 THEN 'n_schools' WHEN k % 5 = 1 THEN 'n_hospitals' WHEN k % 5 IN (2, 3) THEN 'n_commercial_poi' END"
+
+
+@query(f"""WITH {_HEX_SQL}, q AS (SELECT p_partkey AS k, p_partkey % 40 - 4 AS x, p_partkey % 33 - 3 AS y FROM part),
+ w AS (SELECT s_suppkey AS k, (a.x + b.x) / 2.0 AS x, (a.y + b.y) / 2.0 AS y FROM supplier JOIN q a ON a.k = s_suppkey JOIN q b ON b.k = s_suppkey + 7),
+ p AS (SELECT {_POI} AS c, x, y FROM q UNION ALL SELECT {_POI}, x, y FROM w), z AS (SELECT h3_index, c, count(*) AS n FROM p JOIN h ON c IS NOT NULL AND {_HALF_PLANES} GROUP BY 1, 2)
+SELECT h3_index, {", ".join(f"coalesce(max(n) FILTER (c = '{c}'), 0) AS {c}" for c in ("n_schools", "n_hospitals", "n_commercial_poi"))} FROM h LEFT JOIN z USING (h3_index) GROUP BY 1""")
+def q_poi_pivot_zero_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as nodes and suppliers as ways of two of them, counted by category in every cell."""
+
+    def tags(k: Column) -> Column:
+        both = F.create_map(F.lit("amenity"), F.when(k % 5 == 0, "school").when(k % 5 == 1, "hospital"), F.lit("shop"), F.when((k % 5).isin(2, 3), "yes"))
+        return F.map_filter(both, lambda _, v: v.isNotNull())
+
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    nodes = table(spark, sf, "part").select(k.alias("id"), (k % 40 - 4).cast("double").alias("lon"), (k % 33 - 3).cast("double").alias("lat"), tags(k).alias("tags"))
+    ways = table(spark, sf, "supplier").select(s.alias("id"), F.array(s, s + 7).alias("refs"), tags(s).alias("tags"))
+    return population.poi_counts(nodes, ways, _hexes(spark, sf), 8.0)
+
+
+@query("SELECT id, count(*) AS n, round(sum(sqrt(dx * dx + dy * dy)), 6) AS length FROM (SELECT DISTINCT s_nationkey AS id, (s_suppkey % 5) AS dx, (s_suppkey % 7) AS dy FROM supplier) GROUP BY 1")
+def q_retraced(spark: SparkSession, sf: str) -> DataFrame:
+    """A line that goes the same way again, or back, counts once."""
+    k = F.col("s_suppkey")
+    d = lambda c: c.cast("double")
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("id"), (k % 2 == 0).alias("back"), d(k % 5).alias("x"), d(k % 7).alias("y"))
+    end = lambda c, there: F.when(F.col("back") == there, 0.0).otherwise(F.col(c))
+    segs = roads.once(s.select("id", end("x", False).alias("ax"), end("y", False).alias("ay"), end("x", True).alias("bx"), end("y", True).alias("by")))
+    return segs.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))), 6).alias("length"))
+
+
 def _utm_sql() -> str:
     f = 1 / 298.257223563
     n = f / (2 - f)
@@ -574,15 +628,14 @@ def q_round3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_size AS resolution, max((p_retailprice - p_size) * 0.65::DOUBLE) AS extent_x, max(p_partkey % 50 * 0.65::DOUBLE) AS extent_y FROM part GROUP BY 1")
 def q_extent_max(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").groupBy(F.col("p_size").alias("resolution")).agg(F.max((F.col("p_retailprice") - F.col("p_size")) * 0.65).alias("extent_x"), F.max(F.col("p_partkey") % 50 * 0.65).alias("extent_y"))
+    box = F.struct(F.col("p_size").cast("double").alias("x0"), F.lit(0.0).alias("y0"), F.col("p_retailprice").alias("x1"), (F.col("p_partkey") % 50).cast("double").alias("y1"))
+    return render.extents(table(spark, sf, "part").select(F.col("p_size").alias("resolution"), box.alias("box")))
 
 
 @query("SELECT p_partkey, k % 4 AS col, k // 4 AS row FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part) WHERE k < 12")
 def q_contact_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The first twelve, a top-k, on a sheet of four columns. The window runs over twelve rows only."""
-    first = table(spark, sf, "part").select("p_partkey").orderBy("p_partkey").limit(12)
-    k = F.row_number().over(Window.orderBy("p_partkey")) - 1
-    return first.withColumn("k", k).select("p_partkey", (F.col("k") % 4).alias("col"), F.floor(F.col("k") / 4).alias("row"))
+    """The first twelve, a top-k, on a sheet of four columns."""
+    return render.sheet_places(table(spark, sf, "part"), "p_partkey")
 
 
 @query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'primary' WHEN '2-HIGH' THEN 'secondary' WHEN '5-LOW' THEN 'residential' END AS road_class FROM orders")
@@ -591,12 +644,20 @@ def q_map_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", roads.road_class(F.try_element_at(kind, F.col("o_orderpriority"))).alias("road_class"))
 
 
-@query("SELECT event_id, (props->>'$.k')::INT AS k FROM events")
+@query("SELECT user_id::VARCHAR AS h3_index, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, value AS temperature_2m, -value AS precipitation, value + 1 AS visibility, value * 2 AS wind_speed_10m, value / 2 AS relative_humidity_2m FROM events")
 def q_json_explode(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    """Payloads of parallel arrays, made of each user's events as JSON text, read and taken apart."""
+    factor = {"temperature_2m": F.col("value"), "precipitation": -F.col("value"), "visibility": F.col("value") + 1, "wind_speed_10m": F.col("value") * 2, "relative_humidity_2m": F.col("value") / 2}
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("h3_index"), F.struct(F.date_format("ts", ISO).alias("time"), *[c.alias(f) for f, c in factor.items()]).alias("e"))
+    e = e.groupBy("h3_index").agg(F.collect_list("e").alias("e"))
+    hourly = F.struct(*[F.col(f"e.{f}").alias(f) for f in ("time", *factor)])
+    payload = F.to_json(F.struct(hourly.alias("hourly")))
+    p = e.select("h3_index", F.from_json(payload, weather.PAYLOAD).alias("p")).select("h3_index", "p.hourly")
+    return weather.decode_payload(p).withColumn("ts", F.date_format("ts", ISO))
 
 
 @query("SELECT resolution, count(DISTINCT lower(trim(h3_index))) AS n_cells FROM cells GROUP BY 1")
 def q_cells_per_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """A3, U4: distinct cells by resolution."""
-    return table(spark, sf, "cells").select("resolution", F.lower(F.trim("h3_index")).alias("h")).distinct().groupBy("resolution").agg(F.count("*").alias("n_cells"))
+    c = table(spark, sf, "cells").select("resolution", F.lower(F.trim("h3_index")).alias("h"))
+    return contracts.distinct_per_group(c, "resolution", "h").withColumnRenamed("n", "n_cells")

@@ -50,6 +50,31 @@ def wards(spark: SparkSession, path: str, version: str) -> DataFrame:
     )
 
 
+def check_wards(df: DataFrame, expected: int = 126, required: tuple[str, ...] = ("Từ Liêm", "Xuân Phương")) -> DataFrame:
+    """The wards when there are as many as expected, each with an own id, an own name and polygons, and the required ones among them; else an error."""
+    n = df.count()
+    if n != expected:
+        raise contracts.ContractError(f"{n} wards, not {expected}")
+    contracts.require(df.where("ward is null or ward = '' or size(geometry) < 1 or exists(geometry, p -> exists(p, r -> r is null))"), "a ward without name or polygons")
+    for key in ("ward", "ward_id"):
+        contracts.require(contracts.duplicate_keys(df.where(F.col(key).isNotNull()), [key]), f"{key} repeats")
+    contracts.require(contracts.absent_names(df, "ward", list(required)), "a required ward is missing")
+    return df
+
+
+def select_ward(df: DataFrame, name: str | None = None, ward_id: str | None = None) -> DataFrame:
+    """The one ward of a name or of an id, which is compared as text (P5)."""
+    if (name is None) == (ward_id is None):
+        raise ValueError("either a name or an id")
+    hit = df.where(F.col("ward") == name) if name is not None else df.where(F.col("ward_id").cast("string") == ward_id)
+    return contracts.exactly_one(hit, f"ward {name or ward_id}")
+
+
+def select_province(df: DataFrame, gid: str = "VNM.27_1") -> DataFrame:
+    """The one feature of ``read`` whose province id is ``gid``."""
+    return contracts.exactly_one(df.where(F.col("properties")["GID_1"] == gid), f"province {gid}")
+
+
 def closed(ring: str) -> Column:
     return F.concat(F.col(ring), F.slice(ring, 1, 1))
 

@@ -49,3 +49,15 @@ def with_pages(log: DataFrame, stored: DataFrame) -> DataFrame:
 def reason_counts(df: DataFrame, column: str) -> DataFrame:
     """(reason, n) of reasons joined by semicolons, empty ones left out."""
     return df.select(F.explode(F.split(column, ";")).alias("reason")).where("reason <> ''").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def counters(df: DataFrame, by: list[str]) -> DataFrame:
+    """Number of records by the given columns, such as batch and status."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def merge_copies(df: DataFrame, text: str, record: str, source: str) -> DataFrame:
+    """(representative, n_copies, sources) of texts that stand more than once: the least record, and all sources in order."""
+    d = df.where(F.col(text).isNotNull()).groupBy(F.md5(text).alias("_h"))
+    d = d.agg(F.min(record).alias("representative"), F.count("*").alias("n_copies"), F.array_join(F.array_sort(F.collect_set(source)), ",").alias("sources"))
+    return d.where("n_copies > 1").drop("_h")

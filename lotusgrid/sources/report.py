@@ -5,14 +5,20 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 # Thresholds that headline shares have to exceed.
 THRESHOLDS = {"parsed": 0.95, "kept": 0.40, "exact_time": 0.40, "precise": 0.70, "vehicle": 0.80}
 MIN_CHARS = 200
 
 
+def parsed_ok(text: Column) -> Column:
+    """Whether a text is long enough to have been parsed (P4); null is not."""
+    return F.coalesce(F.length(text) >= MIN_CHARS, F.lit(False))
+
+
 def metrics(articles: DataFrame) -> DataFrame:
     """One row of counts over articles ``(parsed_ok, flags...)``; all but ``total`` and ``parsed`` over parsed ones."""
     ok = F.col("parsed_ok")
@@ -37,12 +43,9 @@ def needed_articles(m: dict[str, int], incidents: int = 2000, per_incident: floa
     return round(incidents / (m["kept"] / m["parsed"]) * per_incident) if m["parsed"] and m["kept"] else None
 
 
-def percent(n: int, total: int) -> str:
-    return f"{100 * n / total:.0f}%" if total else "n/a"
-
-
 def markdown(m: dict[str, int], reasons: list[tuple[str, int]], title: str = "Report") -> str:
     v = verdicts(m)
+    percent = lambda n, total: f"{100 * n / total:.0f}%" if total else "n/a"
     lines = [f"# {title}", "", "| metric | n | share | verdict |", "|---|---|---|---|"]
     for k, n in m.items():
         if k != "total":
@@ -71,5 +74,28 @@ def write_json(one_row: DataFrame, path: str) -> None:
 
 
 def write_pages(df: DataFrame, path: str) -> None:
-    """Raw pages ``(domain, sha1, html)``, partitioned by domain; stored pages are never changed, only added."""
-    df.select("domain", "sha1", "html").write.mode("append").partitionBy("domain").option("compression", "zstd").parquet(path)
+    """Raw pages ``(domain, sha1, html)``, partitioned by domain; stored pages are never changed, and one that is there is not added again (K5)."""
+    new = df.select("domain", "sha1", "html").dropDuplicates(["domain", "sha1"])
+    try:
+        stored = df.sparkSession.read.parquet(path).select("domain", "sha1")
+        new = new.join(stored, ["domain", "sha1"], "left_anti")
+    except AnalysisException:  # nothing stored yet
+        pass
+    new.write.mode("append").partitionBy("domain").option("compression", "zstd").parquet(path)
+
+
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """A table in place of the one that may be there (K1)."""
+    w = df.write.mode("overwrite").option("compression", "zstd")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+
+
+def write_parsed(articles: DataFrame, path: str) -> None:
+    """Parsed articles with their flags as JSON, one object a line, nulls written (K6)."""
+    articles.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def utc_now() -> Column:
+    """The present time, ISO 8601 with offset, whatever the session's zone (T5)."""
+    sec = F.unix_seconds(F.current_timestamp())
+    return F.concat(F.date_format(F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(secs=sec.cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))

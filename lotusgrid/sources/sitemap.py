@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +16,21 @@ _LOCAL = "*[local-name()='{}']"
 
 
 def text_of(content: Column) -> Column:
-    """Text of a body; a gzip body must be unpacked by the reader of the source."""
-    return F.make_valid_utf8(content.cast("string"))
+    """Text of a body: gzip is unpacked, what only looks like it is taken as it is; undecodable bytes are replaced."""
+
+    @F.pandas_udf("binary")
+    def plain(s: pd.Series) -> pd.Series:
+        def one(b: bytes) -> bytes:
+            if b[:2] != b"\x1f\x8b":
+                return b
+            try:
+                return gzip.decompress(b)
+            except (OSError, EOFError, zlib.error):
+                return b
+
+        return s.map(one, na_action="ignore")
+
+    return F.make_valid_utf8(plain(content).cast("string"))
 
 
 def robots_sitemaps(robots: DataFrame) -> DataFrame:
@@ -76,15 +92,35 @@ def last_children(df: DataFrame, parent: str, order: list[str], n: int = 5) -> D
     return df.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
 
 
-def allowed(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
-    """Urls ``(domain, url)`` that robots texts allow: the longest matching rule decides, allow on ties; no text allows all."""
+def rule_groups(robots: DataFrame) -> DataFrame:
+    """(domain, agent, kind, path) of robots texts: consecutive user-agent lines share the rules that follow."""
     lines = robots.select("domain", F.posexplode(F.split("body", r"\r?\n")).alias("pos", "line"))
-    lines = lines.select("domain", "pos", F.lower(F.trim(F.regexp_extract("line", r"^\s*([A-Za-z-]+)\s*:", 1))).alias("k"), F.trim(F.regexp_extract("line", r"^[^:]*:\s*([^#]*)", 1)).alias("v"))
-    w = Window.partitionBy("domain").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rules = lines.withColumn("agent", F.last(F.when(F.col("k") == "user-agent", F.lower("v")), ignorenulls=True).over(w))
-    rules = rules.where(F.col("k").isin("allow", "disallow") & (F.col("v") != "") & (F.col("agent") == agent.lower())).select("domain", "k", "v")
-    path = F.regexp_extract("url", r"^[a-z]+://[^/]*(/.*)?$", 1)
-    p = urls.withColumn("_path", F.when(path == "", "/").otherwise(path))
-    hit = p.join(rules, "domain").where(F.startswith("_path", "v"))
-    worst = hit.groupBy("domain", "url").agg(F.max_by("k", F.struct(F.length("v"), F.when(F.col("k") == "allow", 1).otherwise(0))).alias("k"))
-    return urls.join(worst.where("k = 'disallow'"), ["domain", "url"], "left_anti")
+    lines = lines.select("domain", "pos", F.lower(F.trim(F.regexp_extract("line", r"^\s*([A-Za-z-]+)\s*:", 1))).alias("k"), F.trim(F.regexp_extract("line", r"^[^:#]*:\s*([^#]*)", 1)).alias("v"))
+    lines = lines.where(F.col("k").isin("user-agent", "allow", "disallow"))
+    order = Window.partitionBy("domain").orderBy("pos")
+    opens = (F.col("k") == "user-agent") & (F.coalesce(F.lag("k").over(order), F.lit("")) != "user-agent")
+    lines = lines.withColumn("opens", opens.cast("int")).withColumn("group", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    agents = lines.where("k = 'user-agent'").select("domain", "group", F.lower("v").alias("agent"))
+    rules = lines.where("k <> 'user-agent'").select("domain", "group", F.col("k").alias("kind"), F.col("v").alias("path"))
+    return agents.join(rules, ["domain", "group"], "left").select("domain", "agent", "kind", "path")
+
+
+def allowed(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
+    """Urls ``(domain, url)`` that robots texts allow.
+
+    The groups that name the agent (without its version) decide, the ones of ``*`` only
+    where none does; the longest matching rule wins, allow on ties; no text, no group and
+    an empty rule allow all. ``*`` in a path stands for anything, a ``$`` behind it for the end.
+    """
+    name = agent.lower().split("/")[0].strip()
+    groups = rule_groups(robots).withColumn("own", (F.col("agent") != "*") & F.contains(F.lit(name), F.col("agent")))
+    groups = groups.where("own or agent = '*'")
+    best = groups.groupBy("domain").agg(F.bool_or("own").alias("named"))
+    rules = groups.join(best, "domain").where("own = named and path <> ''").select("domain", "kind", "path").distinct()
+    path = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*([/?][^#]*)?", 1)
+    p = urls.withColumn("_path", F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path)))
+    quoted = F.concat(F.lit("\\Q"), F.replace("path", F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E"))
+    rx = F.concat(F.lit("^"), F.when(F.endswith("path", F.lit("$")), F.concat(F.replace(quoted, F.lit("$\\E"), F.lit("\\E")), F.lit("$"))).otherwise(quoted))
+    hit = p.join(rules.withColumn("_rx", rx), "domain").where(F.rlike("_path", F.col("_rx")))
+    worst = hit.groupBy("domain", "url").agg(F.max_by("kind", F.struct(F.length("path"), F.when(F.col("kind") == "allow", 1).otherwise(0))).alias("kind"))
+    return urls.join(worst.where("kind = 'disallow'"), ["domain", "url"], "left_anti")

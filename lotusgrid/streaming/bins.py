@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,9 +26,17 @@ def write_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def write_complete(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The whole aggregate after each batch, as one table that is replaced."""
-    return stream.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The groups that a batch changed, as one folder a batch, which a repeated batch writes again; the watermark frees the state of finished ones."""
+    one = lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}")
+    return stream.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last state of each group that ``write_updates`` wrote."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
 def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:

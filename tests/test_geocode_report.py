@@ -1,6 +1,8 @@
+import datetime
 import json
+import os
 
-import pytest
+from pyspark.sql import functions as F
 
 from lotusgrid.operators import geocode
 from lotusgrid.sources import report
@@ -35,10 +37,21 @@ def test_report(spark, tmp_path):
     assert json.loads((tmp_path / "q" / "x.json").read_text()) == {"id": 1, "t": "xin, chào"}
     pages = spark.createDataFrame([("a.example", "k", "<p>")], "domain string, sha1 string, html string")
     report.write_pages(pages, str(tmp_path / "raw"))
-    report.write_pages(pages, str(tmp_path / "raw"))
-    assert spark.read.parquet(str(tmp_path / "raw")).count() == 2
-
-
-@pytest.mark.parametrize("n,t,want", [(1, 8, "12%"), (3, 8, "38%"), (0, 0, "n/a")])
-def test_percent(n, t, want):
-    assert report.percent(n, t) == want
+    report.write_pages(pages.unionByName(pages.withColumn("sha1", F.lit("l"))), str(tmp_path / "raw"))
+    assert sorted(r.sha1 for r in spark.read.parquet(str(tmp_path / "raw")).collect()) == ["k", "l"]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, t string")
+    for _ in range(2):
+        report.write_table(df, str(tmp_path / "t"))
+        report.write_parsed(df, str(tmp_path / "j"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2 and any(".zstd." in f for f in os.listdir(tmp_path / "t"))
+    lines = sorted(x for f in (tmp_path / "j").glob("part*") for x in f.read_text().splitlines())
+    assert [json.loads(x) for x in lines] == [{"id": 1, "t": "a"}, {"id": 2, "t": None}]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    now = spark.range(1).select(report.utc_now().alias("t")).first().t
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert abs((datetime.datetime.now(datetime.UTC) - datetime.datetime.fromisoformat(now)).total_seconds()) < 120
+    flags = spark.createDataFrame([("x" * 199,), ("x" * 200,), (None,)], "t string").select(report.parsed_ok(F.col("t")).alias("p")).collect()
+    assert [r.p for r in flags] == [False, True, False]

@@ -54,6 +54,17 @@ def test_robots(spark):
     urls = [("a.example", "https://a.example/x/1"), ("a.example", "https://a.example/x/open/2"), ("a.example", "https://a.example/"), ("b.example", "https://b.example/x"), ("c.example", "https://c.example/x"), ("d.example", "https://d.example/x")]
     ok = {r.url for r in sitemap.allowed(spark.createDataFrame(urls, "domain string, url string"), robots).collect()}
     assert ok == {u for _, u in urls} - {"https://a.example/x/1"}
+    grouped = [
+        ("a.example", "User-agent: other\nUser-agent: *\nDisallow: /x  # no\n\nUser-agent: mine\nDisallow: /own\nAllow: /own/*.html$"),
+        ("b.example", "User-agent: mine\nDisallow:\n\nUser-agent: *\nDisallow: /"),
+        ("c.example", "Disallow: /\nUser-agent: mine\nCrawl-delay: 3\nUser-agent: x\nDisallow: /?q="),
+    ]
+    grouped = spark.createDataFrame(grouped, "domain string, body string")
+    urls = spark.createDataFrame([(f"{d}.example", f"https://{d}.example{p}") for d in "abc" for p in ("/x/1", "/own/a", "/own/a.html", "/own/a.html?x", "?q=1")], "domain string, url string")
+    banned = lambda agent: {r.url[8:] for r in urls.subtract(sitemap.allowed(urls, grouped, agent)).collect()}
+    assert banned("*") == {"a.example/x/1"} | {f"b.example{p}" for p in ("/x/1", "/own/a", "/own/a.html", "/own/a.html?x", "?q=1")}
+    assert banned("Mine/2.0") == {"a.example/own/a", "a.example/own/a.html?x", "c.example?q=1"}  # consecutive agents share a group
+    assert banned("X") == {"a.example/x/1", "c.example?q=1"} | {f"b.example{p}" for p in ("/x/1", "/own/a", "/own/a.html", "/own/a.html?x", "?q=1")}
     stored = spark.createDataFrame([("https://b.example/sitemaps.xml", "<x/>"), ("https://b.example/sitemap.xml", "no")], "url string, body string")
     assert {tuple(r) for r in sitemap.discover(robots, stored).collect()} == {("a.example", "https://a.example/m.xml"), ("b.example", "https://b.example/sitemaps.xml")}
 
@@ -80,6 +91,23 @@ def test_geojson(spark, tmp_path):
     wards = {"wards": [{"id": 7, "name": "x", "type": "p", "area": 1.5, "population": 10, "density": 2.0, "center": [105.0, 21.0], "polygons": [ring[:-1]]}]}
     (tmp_path / "wards.json").write_text(json.dumps(wards))
     w = geojson.wards(spark, str(tmp_path / "wards.json"), "2025").first()
+    many = geojson.wards(spark, str(tmp_path / "wards.json"), "2025")
+    assert geojson.select_ward(many, name="x").count() == 1 == geojson.select_ward(many, ward_id="7").count() == geojson.check_wards(many, 1, ("x",)).count()
+    for bad in ({"name": "y"}, {"ward_id": "8"}):
+        with pytest.raises(ValueError):
+            geojson.select_ward(many, **bad)
+    for args in ((2, ()), (1, ("y",))):
+        with pytest.raises(ValueError):
+            geojson.check_wards(many, *args)
+    for twice in (many.unionByName(many), many.unionByName(many.withColumn("ward", F.lit("y"))), many.unionByName(many.withColumns({"ward": F.lit(None), "ward_id": F.lit("9")}))):
+        with pytest.raises(ValueError):
+            geojson.check_wards(twice, 2, ())
+    with pytest.raises(ValueError):
+        geojson.select_ward(many, name="x", ward_id="7")
+    provinces = spark.createDataFrame([({"GID_1": "VNM.27_1"},), ({"GID_1": "VNM.28_1"},)], "properties map<string,string>")
+    assert geojson.select_province(provinces).count() == 1
+    with pytest.raises(ValueError):
+        geojson.select_province(provinces, "VNM.1_1")
     assert w.ward_id == "7" and w.geometry == [[ring]] and w.center_lat_source == 21.0
 
 
@@ -128,6 +156,9 @@ def test_gzip_text(spark, tmp_path):
     (tmp_path / "s.xml.gz").write_bytes(gzip.compress(URLSET.encode()))
     got = spark.read.text(str(tmp_path / "s.xml.gz"), wholetext=True).select(F.lit("g").alias("url"), F.col("value").alias("body"))
     assert sitemap.entries(got).count() == 2
+    raw = spark.createDataFrame([(1, gzip.compress(URLSET.encode())), (2, URLSET.encode()), (3, b"\x1f\x8bno gzip"), (4, None), (5, gzip.compress(b"cut")[:12])], "k int, b binary")
+    texts = {r.k: r.t for r in raw.select("k", sitemap.text_of(F.col("b")).alias("t")).collect()}
+    assert texts[1] == texts[2] == URLSET and texts[3].endswith("no gzip") and texts[4] is None and texts[5] is not None
 
 
 def test_cell_images(spark):
@@ -142,3 +173,63 @@ def test_cell_images(spark):
     assert [tuple(r) for r in t.select(roads.is_water(F.col("tags")), roads.is_closed_polygon(F.col("refs"))).collect()] == [(True, True), (False, False), (False, False)]
     styles = spark.createDataFrame([("primary_link",), (None,)], "h string").select(roads.style_key(F.col("h")).alias("s")).collect()
     assert [r.s for r in styles] == ["primary", None]
+    assert render.style("primary") == ((0xFD, 0xAE, 0x61), 1.8 * 100 / 72) and render.style("service")[1] == 1.0 and len(render.ROADS) == 8
+
+
+def test_map_pipeline(spark):
+    from lotusgrid.functions import render
+
+    nodes = spark.createDataFrame([(k, 105.0 + k % 2 * 0.001, 21.0 + k // 2 * 0.001, {}) for k in range(4)] + [(9, None, None, {})], "id long, lon double, lat double, tags map<string,string>")
+    ways = [(1, {"highway": "primary_link"}, [0, 9, 1]), (2, {"building": "yes", "natural": "water"}, [0, 1, 3, 0]), (3, {"building": "yes"}, [0, 1, 0]), (4, {"highway": "path"}, [0, 1]), (5, {"highway": "service"}, [0, 9]), (6, {"highway": "residential", "building": "no"}, [0, 1, 3, 0])]
+    shapes = render.map_shapes(spark.createDataFrame(ways, "id long, tags map<string,string>, refs array<long>"), nodes)
+    assert sorted((r.id, r.kind, len(r.points)) for r in shapes.collect()) == [(1, "primary", 2), (2, "building", 4), (2, "water", 4), (6, "building", 4), (6, "residential", 4)]
+    x, y = shapes.where("id = 1").first().points[0]
+    ring = lambda cx, cy, r: [[cx - r, cy - r], [cx + r, cy - r], [cx + r, cy + r], [cx - r, cy + r], [cx - r, cy - r]]
+    cells = spark.createDataFrame([("a", 8, ring(x, y, 50.0)), ("b", 8, ring(x + 9e5, y, 20.0)), ("c", 9, ring(x, y, 10.0))], "h3_index string, resolution int, ring array<array<double>>")
+    views = render.views(cells)
+    boxes = {r.h3_index: r.box for r in views.collect()}
+    assert boxes["a"].x1 - boxes["a"].x0 == pytest.approx(130) == boxes["b"].y1 - boxes["b"].y0 and boxes["c"].x1 - boxes["c"].x0 == pytest.approx(26)
+    seen = render.in_views(shapes, views, 500.0)
+    assert sorted((r.h3_index, r.kind) for r in seen.collect()) == [(c, k) for c in "ac" for k in ("building", "building", "primary", "residential", "water")]
+    images = {r.h3_index: bytes(r.image) for r in render.cell_images(views, seen).collect()}
+    assert images["b"] == render.png(render.canvas()) != images["a"]
+    assert [tuple(r) for r in render.sheet_places(cells, "h3_index", 3, 2).orderBy("h3_index").collect()] == [("a", 0, 0), ("b", 1, 0), ("c", 0, 1)]
+
+
+def test_fetching(spark, tmp_path):
+    from lotusgrid.sources import fetch
+
+    asked, waits = [], []
+
+    def opener(url):
+        asked.append(url)
+        if "busy" in url:
+            return (503, b"") if len(asked) < 3 else (200, b"late")
+        if "down" in url:
+            raise OSError
+        return (404, b"x") if "gone" in url else (200, b"ok")
+
+    assert fetch.get("https://a/busy", opener, 1.5, 3, waits.append) == (200, b"late") and waits == [3.0, 6.0]
+    assert fetch.get("https://a/gone", opener, sleep=waits.append) == (404, None) and fetch.get("https://a/down", opener, sleep=waits.append) == (None, None)
+    assert waits[2:] == [1.5, 3.0, 4.5]
+
+    def plain(url):
+        return (404, b"") if "gone" in url else (200, url.encode())
+
+    urls = spark.createDataFrame([("a", "https://a/1"), ("a", "https://a/gone"), ("b", "https://b/1"), ("a", "https://a/1"), (None, "x"), ("b", None)], "domain string, url string")
+    got = {r.url: (r.status, r.body and bytes(r.body)) for r in fetch.pages(urls, plain, 0.05).collect()}
+    assert got == {"https://a/1": (200, b"https://a/1"), "https://a/gone": (404, None), "https://b/1": (200, b"https://b/1")}
+
+    def station(url):
+        return 200, b'{"hourly": {"time": ["2024-01-01T00:00", "2024-01-01T01:00"], "temperature_2m": [1.5, null], "precipitation": [0, 1], "visibility": [9, 9], "wind_speed_10m": [2, 3], "relative_humidity_2m": [50, 60]}}'
+
+    def closed(url):
+        raise OSError
+
+    req = spark.createDataFrame([("c1", 21.0, 105.0, "2024-01-01", "2024-01-01")], "h3_index string, latitude double, longitude double, start_date string, end_date string")
+    cache = str(tmp_path / "cache")
+    first = fetch.hourly(req, station, "https://w.example/v1", cache).orderBy("ts").collect()
+    assert [(r.h3_index, r.temperature_2m, r.precipitation) for r in first] == [("c1", 1.5, 0.0), ("c1", None, 1.0)]
+    assert fetch.hourly(req, closed, "https://w.example/v1", cache).orderBy("ts").collect() == first
+    with pytest.raises(Exception, match="no weather"):
+        fetch.hourly(req, closed, "https://w.example/v1", str(tmp_path / "other"), tries=1).collect()

@@ -27,6 +27,16 @@ def test_bins_with_late_rows(spark, tmp_path):
     assert got["2024-01-01 00:00:00"] == (2.0, 4.0, 2) and got["2024-01-01 06:00:00"] == (None, 0.0, 1)
 
 
+def test_updates_keep_the_last_state(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    write(spark, src, [("a", "2024-01-01 00:00:00", 1.0), ("b", "2024-01-01 07:00:00", 5.0)], 1)
+    write(spark, src, [("a", "2024-01-01 05:00:00", 3.0)], 2)
+    for _ in range(2):
+        bins.write_updates(bins.six_hour_stream(stream(spark, src), "ts", "url", "v"), out, cp).awaitTermination(120)
+    got = {(r.key, str(r.bin)): (r.mean, r.n) for r in bins.read_updates(spark, out, ["key", "bin"]).collect()}
+    assert got == {("a", "2024-01-01 00:00:00"): (2.0, 2), ("b", "2024-01-01 06:00:00"): (5.0, 1)}
+
+
 def test_urls_once_and_restart(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
     write(spark, src, [("a", "2024-01-01 00:00:00", 1.0), ("a", "2024-01-01 00:00:00", 1.0), ("b", "2024-01-01 01:00:00", 1.0)], 1)
