@@ -102,10 +102,14 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` in enough partitions for every core, twice over.
+    """``df`` in enough partitions for every core.
 
-    A table of few splits gives few tasks however large they are; then, and only then,
-    its rows are shuffled by ``key``. The number of partitions never falls.
+    A table of few files gives few tasks however large they are; then, and only then,
+    its rows are shuffled by ``key``. The number of partitions never falls, and the files
+    are listed only where there are few partitions.
     """
-    wanted = 2 * parallelism(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
+    cores = parallelism(df.sparkSession)
+    parts = df.rdd.getNumPartitions()
+    if parts >= cores and (parts >= 4 * cores or len(df.inputFiles()) >= cores):
+        return df
+    return df.repartition(max(parts, 2 * cores), key)

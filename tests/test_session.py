@@ -22,5 +22,6 @@ def test_cuts_are_dropped(spark):
 
 
 def test_spread_never_lowers_the_number_of_partitions(spark):
+    assert session.spread(spark.range(100, numPartitions=9), "id").rdd.getNumPartitions() == 9
     assert session.spread(spark.range(100, numPartitions=50), "id").rdd.getNumPartitions() == 50
     assert session.spread(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() == 2 * session.parallelism(spark)
