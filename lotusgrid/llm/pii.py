@@ -73,6 +73,8 @@ PHONE = re.compile(
     r")(?![\w/])(?![.\-]\d)(?!\s(?:đồng|triệu)\b)"
 )
 _ID_WORDS = "căn cước|CMND|CMT|CCCD|chứng minh|hộ chiếu|giấy tờ|passport|identity|ID card|ID number|card numbered"
+#: Parts of these words; a text with none of them has no identity number.
+_ID_SIGNS = ("cước", "cmnd", "cmt", "cccd", "minh", "chiếu", "giấy", "passport", "identity", "card", "number")
 ID = re.compile(
     r"(?<![\w.+/\-])(?:[A-Z]\d{7}|\d{12}|\d{9}|\d{3}(?:[ \xa0]\d{3}){2,3}|\d{3}(?:\.\d{3}){2,3}|\d{4}(?:[. \-]\d{4}){2})(?!\w)(?![ .\-]\d)"
 )
@@ -143,7 +145,9 @@ def find(text: str | None, model: bool = True, with_dates: bool = False) -> list
     spans: list[tuple[int, int, str]] = []
     if "@" in t or "at" in t or "AT" in t or "còng" in t:
         spans += [(*m.span(), "email") for m in EMAIL.finditer(t)]
-    spans += [(*m.span(), "id_number") for m in ID.finditer(t) if ID_BEFORE.search(t, max(0, m.start() - 60), m.start())]
+    low = t.lower()
+    if any(w in low for w in _ID_SIGNS):
+        spans += [(*m.span(), "id_number") for m in ID.finditer(t) if ID_BEFORE.search(t, max(0, m.start() - 60), m.start())]
     spans += [(*m.span(), "phone") for m in PHONE.finditer(t)]
     for m in ADDRESS.finditer(t):
         before = ADDRESS_BEFORE.search(t, max(0, m.start() - 14), m.start())

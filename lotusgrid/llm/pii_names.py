@@ -50,15 +50,19 @@ _NEXT = re.compile(r"[^\S\n]*([^\W\d_]+|[^\w\s]|\d+)")
 _AGE = re.compile(r"[^\S\n]?[,(][^\S\n]?(?:\d{1,2}(?:[^\S\n]tuổi)?\b|sn\b|sinh năm|aged\b)", re.I)
 
 
+_NAMES = {x for w in (*FAMILY, *GIVEN) for x in (w, w.upper())}
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of runs that begin with a known name."""
     out = []
     for m in _RUN.finditer(text):
+        if _NAMES.isdisjoint(m.group().split()):
+            continue
         words = [(w.group(), m.start() + w.start(), m.start() + w.end()) for w in re.finditer(r"[^\W\d_]+\.?", m.group())]
         for k, (w, a, _) in enumerate(words[:-1]):
-            name = w.capitalize()
-            if name in _FAMILY or name in _GIVEN:
-                last = words[min(k + 3, len(words) - 1)] if name in _FAMILY else words[min(k + 2, len(words) - 1)]
+            if w in _NAMES:
+                last = words[min(k + 3, len(words) - 1)] if w.capitalize() in _FAMILY else words[min(k + 2, len(words) - 1)]
                 e = last[2] - last[0].endswith(".")
                 if text[m.start() : m.end()].lower() not in _PLACES and text[a:e].lower() not in _PLACES:
                     out.append((a, e))
