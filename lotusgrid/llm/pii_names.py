@@ -45,28 +45,39 @@ _FAMILY, _MIDDLE, _LAST_NAMES, _GIVEN = set(FAMILY), set(MIDDLE), set(LAST), set
 _PLACES = {p.lower() for p in [*lexicon.DISTRICTS, *lexicon.LANDMARKS, *lexicon.PROVINCES]} | {"hà nội", "thái lan", "cao tốc"}
 _WORD = r"[A-ZÀ-ÖØ-ÝĂĐĨŨƠƯẠ-Ỹ][^\W\d_]*"
 _RUN = re.compile(rf"(?<!\w){_WORD}(?:[^\S\n]{{1,3}}(?:[A-Z]\.|{_WORD}))+(?!\w)")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _LAST = re.compile(r"([^\W\d_]+|[^\w\s])[^\S\n]*$")
 _NEXT = re.compile(r"[^\S\n]*([^\W\d_]+|[^\w\s]|\d+)")
 _AGE = re.compile(r"[^\S\n]?[,(][^\S\n]?(?:\d{1,2}(?:[^\S\n]tuổi)?\b|sn\b|sinh năm|aged\b)", re.I)
 
 
-_NAMES = {x for w in (*FAMILY, *GIVEN) for x in (w, w.upper())}
+def _starts() -> re.Pattern:
+    """A known name, in title case or capitals, with a capitalised word behind it; grouped by first letter, so that the scan is quick."""
+    by: dict[str, list[str]] = {}
+    for w in sorted({x for w in (*FAMILY, *GIVEN) for x in (w, w.upper())}, key=lambda w: (-len(w), w)):
+        by.setdefault(w[0], []).append(w[1:])
+    upper = _WORD[: _WORD.index("]") + 1]
+    return re.compile("(?:" + "|".join(f"{c}(?:{'|'.join(ends)})" for c, ends in sorted(by.items())) + rf")(?=[^\S\n]{{1,3}}{upper})")
+
+
+_START = _starts()
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of runs that begin with a known name."""
-    out = []
-    for m in _RUN.finditer(text):
-        if _NAMES.isdisjoint(m.group().split()):
+    """(start, end) of runs from their first known name on."""
+    out, done = [], 0
+    for m in _START.finditer(text):
+        a = m.start()
+        if a < done or (a and (text[a - 1].isalnum() or text[a - 1] == "_")):
+            continue
+        run = _RUN.match(text, a)
+        if not run:
             continue
-        words = [(w.group(), m.start() + w.start(), m.start() + w.end()) for w in re.finditer(r"[^\W\d_]+\.?", m.group())]
-        for k, (w, a, _) in enumerate(words[:-1]):
-            if w in _NAMES:
-                last = words[min(k + 3, len(words) - 1)] if w.capitalize() in _FAMILY else words[min(k + 2, len(words) - 1)]
-                e = last[2] - last[0].endswith(".")
-                if text[m.start() : m.end()].lower() not in _PLACES and text[a:e].lower() not in _PLACES:
-                    out.append((a, e))
-                break
+        done = run.end()
+        words = [w.span() for w in _LETTERS.finditer(run.group())]
+        e = a + words[min(3 if m.group().capitalize() in _FAMILY else 2, len(words) - 1)][1]
+        if text[a:e].lower() not in _PLACES:
+            out.append((a, e))
     return out
 
 
