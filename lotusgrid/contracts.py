@@ -90,6 +90,14 @@ def exactly_one(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def require_whole_numbers(df: DataFrame, column: str) -> DataFrame:
+    """The table when a column is of whole numbers of at most 64 bits."""
+    kind = df.select(column).dtypes[0][1]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ContractError(f"{column} must be of whole numbers, not {kind}: number the records first")
+    return df
+
+
 def require(bad: DataFrame, what: str) -> None:
     """An error when a check found anything."""
     rows = bad.take(3)

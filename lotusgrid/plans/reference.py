@@ -94,6 +94,13 @@ def q_weather_bins(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("h3_index", "time_bin", *[r6(c).alias(c) for c in fields.values()], "n_rows")
 
 
+@query("SELECT o_orderkey, year(o_orderdate) + 27 IN (2020, 2021) AS is_covid_period FROM orders")
+def q_covid_flag(spark: SparkSession, sf: str) -> DataFrame:
+    """T6 over the orders' days, 27 years later, so that both values come up."""
+    later = F.add_months("o_orderdate", 27 * 12)
+    return table(spark, sf, "orders").select("o_orderkey", timebin.is_covid_period(later).alias("is_covid_period"))
+
+
 @query("""
 SELECT count(*) AS rows, count(DISTINCT h3_index) AS cells, count(*) - count(h3_index) AS null_h3_index, count(*) - count(time_bin) AS null_time_bin, count(*) - count(temp_mean) AS null_temp_mean,
  count(*) - count(precipitation_sum) AS null_precipitation_sum, count(*) - count(visibility_min) AS null_visibility_min, count(*) - count(wind_speed_max) AS null_wind_speed_max,

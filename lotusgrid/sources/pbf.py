@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import contracts
+from ..session import cut
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -130,23 +131,22 @@ def decode(data: bytes) -> tuple[list[tuple], list[tuple]]:
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, ways) of a file that all executors can read."""
+    """(nodes, ways) of a file that all executors can read; each block is decoded once, into a table in the shared folder."""
     data = [(o, s) for kind, o, s in blobs(path) if kind == "OSMData"]
     index = spark.createDataFrame(data, "at long, size long").repartition(max(1, min(len(data), 10_000)))
-
-    def run(which: int, columns: list[str]):  # noqa: ANN202
-        def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for at, size in zip(b["at"], b["size"]):
-                    with open(path, "rb") as f:
-                        f.seek(at)
-                        rows = decode(inflate(f.read(size)))[which]
-                    yield pd.DataFrame(rows, columns=columns)
-
-        return load
-
-    nodes = index.mapInPandas(run(0, ["id", "lon", "lat", "tags"]), contracts.NODES)
-    return nodes, index.mapInPandas(run(1, ["id", "tags", "refs"]), contracts.WAYS)
+    names = ["id", "lon", "lat", "tags", "refs"]
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at, size in zip(b["at"], b["size"]):
+                with open(path, "rb") as f:
+                    f.seek(at)
+                    nodes, ways = decode(inflate(f.read(size)))
+                yield pd.DataFrame([(*n, None) for n in nodes], columns=names)
+                yield pd.DataFrame([(i, None, None, tags, refs) for i, tags, refs in ways], columns=names)
+
+    both = cut(index.mapInPandas(load, f"{contracts.NODES}, refs array<long>"), "pbf")
+    return both.where("refs is null").select("id", "lon", "lat", "tags"), both.where("refs is not null").select("id", "tags", "refs")
 
 
 def _put(n: int) -> bytes:
