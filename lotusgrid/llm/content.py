@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import spread
 from .batches import slices
@@ -227,6 +228,8 @@ def content_lines(df: DataFrame, record: str = "record_id", url: str = "url", bo
                 if r is not None:
                     ids.extend([r] * len(lines))
                     nos.extend([i for i, _ in lines])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int64())], names=[record, "line_no"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(nos, pa.int64())], names=[record, "line_no"])
 
-    return spread(df.select(record, url, body), record).mapInArrow(run, f"`{record}` long, line_no long")
+    pages = df.select(record, url, body)
+    kind = to_arrow_type(pages.schema[0].dataType)
+    return spread(pages, record).mapInArrow(run, f"`{record}` {pages.dtypes[0][1]}, line_no long")

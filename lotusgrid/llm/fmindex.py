@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import spread
 from .batches import slices
@@ -249,7 +250,7 @@ def leak_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
             return got
 
         def rows(spans: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([s[k] for s in spans], pa.int64()) for k in range(4)], names=[doc_id, "item_id", "first_word", "end_word"])
+            return pa.RecordBatch.from_arrays([pa.array([s[k] for s in spans], kinds[k]) for k in range(4)], names=[doc_id, "item_id", "first_word", "end_word"])
 
         for b in slices(batches):
             for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -279,7 +280,9 @@ def leak_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         if held:
             yield rows(flush())
 
-    return spread(docs.select(doc_id, text), doc_id).mapInArrow(run, f"`{doc_id}` long, item_id long, first_word long, end_word long")
+    docs = docs.select(doc_id, text)
+    kinds = [to_arrow_type(docs.schema[0].dataType), to_arrow_type(items.schema[0].dataType), pa.int64(), pa.int64()]
+    return spread(docs, doc_id).mapInArrow(run, f"`{doc_id}` {docs.dtypes[0][1]}, item_id {items.dtypes[0][1]}, first_word long, end_word long")
 
 
 def leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

@@ -12,7 +12,8 @@ up by the line in the same rows; ``without_repeated`` takes the lines out of the
 
 Defined results: null and empty bodies count as documents of their source and have
 no lines; empty lines never count; a document counts once per line, all its
-occurrences are given; repeated ids are one document.
+occurrences are given; repeated ids are one document; ids that are no whole numbers are
+an error, as bitmaps are of numbers.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import contracts
 from ..session import cut, spread
 from .batches import slices
 from .content import clean_lines
@@ -106,6 +108,7 @@ def line_bitmaps(df: DataFrame, record: str, site: Column, body: str, rows_at_on
         if held:
             yield flush()
 
+    contracts.require_whole_numbers(df, record)
     rows = df.select(F.col(record).cast("long").alias("rec"), site.alias("site"), F.col(body).alias("body"))
     return spread(rows, "rec").mapInArrow(run, "site string, line binary, box long, docs binary, places binary")
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import contracts
 from ..session import cut, spread
 from .batches import slices
 
@@ -40,6 +41,7 @@ BUCKET_ROWS = 20_000
 
 def sized(df: DataFrame, doc_id: str, text: str, source: str, tokenizer: str, pattern: str = PATTERN) -> DataFrame:
     """(doc, src, h, n): each document's source, text hash and number of tokens; ``tokenizer`` is the path of a vocabulary of ranks."""
+    contracts.require_whole_numbers(df, doc_id)
     vocabulary = open(tokenizer, "rb").read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

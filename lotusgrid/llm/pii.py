@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import spread
 from .batches import slices
@@ -295,9 +296,11 @@ def found(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
             for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if r is not None and t:
                     rows += [(r, kind, x) for kind, x in dict.fromkeys((k, t[a:e]) for a, e, k in find(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.string())], names=[doc_id, "kind", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], kind_of), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.string())], names=[doc_id, "kind", "found"])
 
-    return spread(df.select(doc_id, text), doc_id).mapInArrow(run, f"`{doc_id}` long, kind string, found string").distinct()
+    docs = df.select(doc_id, text)
+    kind_of = to_arrow_type(docs.schema[0].dataType)
+    return spread(docs, doc_id).mapInArrow(run, f"`{doc_id}` {docs.dtypes[0][1]}, kind string, found string").distinct()
 
 
 def masked_documents(df: DataFrame, key: bytes | str, doc_id: str = "doc_id", text: str = "text", with_dates: bool = False) -> DataFrame:

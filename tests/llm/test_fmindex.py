@@ -46,6 +46,8 @@ def test_dirty_rows(spark):
     whole = sorted(tuple(r) for r in fmindex.leak_spans(d, i).collect())
     for n in (3, 13, 20):
         assert sorted(tuple(r) for r in fmindex.leak_spans(d, i, shard_words=n).collect()) == whole
+    named = {tuple(r) for r in fmindex.leaks(d.selectExpr("'d' || doc_id as doc_id", "text"), i.selectExpr("'i' || item_id as item_id", "text")).collect()}
+    assert named == {(f"d{a}", f"i{b}") for a, b in got}
     with pytest.raises(ValueError, match="blocks"):
         fmindex.leaks(d, i, max_item_bytes=10)
     with pytest.raises(ValueError, match="blocks"):

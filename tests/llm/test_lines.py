@@ -1,6 +1,7 @@
 import collections
 
 import numpy as np
+import pytest
 
 from lotusgrid.llm import content, lines
 
@@ -45,6 +46,12 @@ def test_found_query_against_brute_force(spark, sf):
     assert want and sorted(tuple(r) for r in entry.queries()["p4_found"](spark, at).collect()) == want
 
 
+def test_ids_must_be_numbers(spark):
+    df = spark.createDataFrame([("a", "https://a.example/", "x")], "record_id string, url string, body string")
+    with pytest.raises(ValueError, match="whole numbers"):
+        lines.repeated_lines(df)
+
+
 def test_without_repeated(spark):
     rows = [(k, f"https://a.example/{k}", f"chung\nriêng {k}\n\nＣhung\nchung") for k in range(6)] + [(10, "https://a.example/", None), (11, "https://a.example/", ""), (12, None, "chung"), (13, "https://b.example/", "chung\n")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "record_id long, url string, body string, line_no int")

@@ -70,6 +70,8 @@ def test_dirty_rows(spark):
     rows = [(1, t), (1, t), (2, None), (3, ""), (None, t), (4, "x" * 200_000 + " " + t)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kind int")
     assert sorted(tuple(r) for r in pii.found(df).collect()) == [(1, "phone", "0748.347.301"), (4, "phone", "0748.347.301")]
+    named = df.selectExpr("'d' || doc_id as doc_id", "text")
+    assert sorted(tuple(r) for r in pii.found(named).collect()) == [("d1", "phone", "0748.347.301"), ("d4", "phone", "0748.347.301")]
     assert pii.masked_documents(df, "k").count() == 6 and pii.found(df.limit(0)).count() == 0
 
 
