@@ -64,7 +64,7 @@ def slug_passes(url: Column) -> Column:
 
 
 def found_words(low: Column, words: list[str]) -> Column:
-    """Words of a list that a text in lower case holds, in list order, duplicates kept."""
+    """Words of a list that a text in lower case holds, in list order, duplicates kept. ``low`` should be a column, not an expression: it is read once a word."""
     return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in words]))
 
 

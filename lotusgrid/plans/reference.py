@@ -281,8 +281,8 @@ WITH h AS (SELECT record_id, coalesce(nfc_normalize(title), '') || chr(10) || co
 SELECT record_id, score_here, score_there, CASE WHEN score_here > score_there THEN 'hanoi' WHEN score_there > score_here THEN 'other_province' ELSE 'unknown' END AS verdict FROM s""")
 def q_lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
     """F7's weighted lists with duplicates, without the bare city name, whose context test has no SQL twin."""
-    a = _articles(spark, sf).select("record_id", text.glue(F.col("title"), F.col("body"), 400).alias("head"))
-    hits = lambda words: F.size(text.found_words(F.lower("head"), words))
+    a = _articles(spark, sf).select("record_id", F.lower(text.glue(F.col("title"), F.col("body"), 400)).alias("low"))
+    hits = lambda words: F.size(text.found_words(F.col("low"), words))
     s = a.select("record_id", (hits(L.DISTRICTS) * 3 + hits(L.LANDMARKS) * 3).alias("score_here"), (hits(L.PROVINCES) * 3).alias("score_there"))
     verdict = F.when(F.col("score_here") > F.col("score_there"), "hanoi").when(F.col("score_there") > F.col("score_here"), "other_province").otherwise("unknown")
     return s.withColumn("verdict", verdict)
