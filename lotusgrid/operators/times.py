@@ -109,32 +109,23 @@ def parse(value: str | None, date_order: str = "dmy") -> tuple[int, int | None]
     return None
 
 
-_ISO = r"^(?!0000)\d{4}-\d{2}-\d{2}[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?(?:Z|[+-](?:0\d|1[0-4]):?[0-5]\d)?$"
-
-
 def parsed(value: Column, date_order: Column) -> Column:
-    """Struct (wall long, off int) of a value; wall is null where the value fixes no time.
-
-    ISO notations and epochs are read by built-in expressions, the rest by ``parse``.
-    """
+    """Struct (wall long, off int) of a value; wall is null where the value fixes no time. A task remembers the values that it has read."""
+    memo: dict[tuple, tuple] = {}
 
     @F.pandas_udf("wall long, off int")
     def run(v: pd.Series, o: pd.Series) -> pd.DataFrame:
-        rows = [parse(a, b if isinstance(b, str) else "dmy") or (None, None) if a else (None, None) for a, b in zip(v, o)]
+        if len(memo) > 200_000:
+            memo.clear()
+        rows = []
+        for k in zip(v, o):
+            r = memo.get(k)
+            if r is None:
+                r = memo[k] = parse(k[0], k[1] if isinstance(k[1], str) else "dmy") or (None, None)
+            rows.append(r)
         return pd.DataFrame({"wall": pd.array([r[0] for r in rows], "Int64"), "off": pd.array([r[1] for r in rows], "Int32")})
 
-    iso, epoch = value.rlike(_ISO), value.rlike(r"^(?:\d{9,10}|\d{13}|\d{16})$")
-    two = lambda at: F.substring(value, at, 2).try_cast("int")
-    day = F.date_diff(F.substring(value, 1, 10).try_cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    wall = day * 86400 + two(12) * 3600 + two(15) * 60 + F.when(F.substring(value, 17, 1) == ":", two(18)).otherwise(0)
-    zone = F.regexp_extract(F.substring(value, 17, 40), r"([+-])(\d{2}):?(\d{2})$", 0)
-    part = lambda n: F.substring(F.replace(zone, F.lit(":"), F.lit("")), n, 2).try_cast("int")
-    off = F.when(F.endswith(value, F.lit("Z")), 0).when(zone != "", (part(2) * 3600 + part(4) * 60) * F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1))
-    n = value.try_cast("long")
-    sec = F.floor(n / F.when(F.length(value) == 16, 1_000_000).when(F.length(value) == 13, 1000).otherwise(1)).cast("long")
-    rest = run(F.when(~iso & ~epoch, value), date_order)
-    built_in = F.when(iso, F.struct(wall.alias("wall"), F.when(day.isNotNull(), off).cast("int").alias("off")))
-    return built_in.when(epoch, F.struct(sec.alias("wall"), F.lit(0).alias("off"))).otherwise(rest)
+    return run(value, date_order)
 
 
 def zone_instant(wall: Column, zone: Column) -> Column:

@@ -46,10 +46,10 @@ def test_values_that_fix_no_time(value):
     assert times.parse(value, "dmy") is None
 
 
-def test_built_in_reading_equals_parse(spark):
+def test_column_reading_equals_parse(spark):
     values = [None, "", "x", "2022-02-30T10:00:00Z", "2022-02-28T24:00:00Z", "2022-02-28T23:60:00", "2022-02-28 23:59", "2022-02-28T23:59:58", "2022-02-28T23:59:58,123+0530", "2022-02-28T23:59-09:30", "2022-02-28T23:59:01+15:30", "2022-02-28T23:59:01-1445",
               "2022-02-28T23:59:01.5Z", "0000-01-01T00:00", "1969-12-31T23:59:59Z", "999999999", "1601519746", "1682319948605", "1682319948605123", "12345", "20240301T060000+0700", " 2021-01-02 03:04 ", "2022-12-31T00:00:00 +07:00", "15/6/2023 12:44 SA", "2022-02-28T23:59+7", "2022-02-28T23:59+07", "١٦٠١٥١٩٧٤٦"]
-    df = spark.createDataFrame([(k, v, o) for k, v in enumerate(values) for o in ("dmy", None)], "k int, v string, o string")
+    df = spark.createDataFrame([(k, v, o) for k, v in enumerate(values * 2) for o in ("dmy", None)], "k int, v string, o string")
     for r in df.select("k", "v", times.parsed(F.col("v"), F.col("o")).alias("t")).collect():
         want = times.parse(r.v) if r.v else None
         assert ((r.t.wall, r.t.off) if r.t.wall is not None else None) == want, r.v
