@@ -14,7 +14,12 @@ sets. A similarity of at least s bounds that difference by (|A|+|B|)(1-s)/(1+s).
    candidates. With fewer differing places than parts of a dealing one part must be free
    of differences; beyond that a part is free with probability s^PART, and ``n_groups``
    takes so many that the computed share of pairs lost just at the threshold is under
-   ``MISS``. ``candidates="prefix"`` loses none at all: the runs of
+   ``MISS``. Unlike sets of one domain share runs too and agree in a part by chance, and
+   such pairs grow with the square of the number of sets. So a key carries its set's mark,
+   a few bits of each of the turn's places, and where sets meet only pairs go on whose
+   marks differ in no more bits than pairs at the threshold do (but for ``STRAY`` of
+   them, which other turns' places still find; ``lost`` counts it in). What is written and
+   shuffled thus follows the pairs that are near. ``candidates="prefix"`` loses none at all: the runs of
    every set are put in one order, rare ones first, and sets are joined by the first
    runs that a common run can be among (``first_runs``); its work grows with the square
    of a run's frequency.
@@ -39,7 +44,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -59,11 +64,15 @@ RANK_BITS = 20
 #: Sampled places in a part, and how many parts a place takes part in; the share of pairs just at the threshold that the parts may lose.
 PART, SHARED, MISS = 5, 2, 1e-6
 #: Parts are joined in so many rounds, each cut before the next, so that not all keys lie on disk at once.
-ROUNDS = 4
+ROUNDS = 12
+#: Words of a mark, its bits at most (their number fits a byte), and the share of pairs just at the threshold that marks may part in one round.
+MARK, MARK_BITS, STRAY = 4, 255, 0.05
 #: Sets of one key that meet in the task that sorts it; keys of more sets meet in a join, which can be split.
 HOT = 2_000
 #: Keys that are sorted at once, about, and that travel in one row, at most.
 PIECE, PACK = 500_000, 512
+#: Runs of several sets that are hashed at once; they stay in the cache.
+_RUNS = 1 << 16
 _U = np.uint64
 
 
@@ -169,19 +178,49 @@ def runs(texts: list[str], words: Words, size: int = 3) -> list[np.ndarray]:
     return out
 
 
+def binomial(n: int, p: float) -> np.ndarray:
+    if not 0 < p < 1:
+        return (np.arange(n + 1) == (n if p >= 1 else 0)).astype(np.float64)
+    return np.array([math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)) for k in range(n + 1)])
+
+
+def mark_shape(places: int) -> tuple[int, int]:
+    """(places that a mark is taken from, bits of each)."""
+    return min(places, MARK_BITS), min(64, max(1, MARK_BITS // places))
+
+
+@lru_cache(maxsize=256)
+def mark_limit(similarity: float, places: int) -> tuple[int, float]:
+    """(bits in which the marks of a pair may differ, share of pairs of the similarity that this parts).
+
+    Places that agree have equal bits; each bit of the others differs by even chance.
+    """
+    m, bits = mark_shape(places)
+    differ = np.zeros(m * bits + 1)
+    for agree, p in enumerate(binomial(m, similarity)):
+        n = (m - agree) * bits
+        differ[: n + 1] += p * binomial(n, 0.5)
+    beyond = 1 - np.cumsum(differ)
+    limit = int(np.argmax(beyond <= STRAY))
+    return limit, max(0.0, float(beyond[limit]))
+
+
 def lost(similarity: float, groups: int) -> float:
-    """The share of pairs of a similarity that ``groups`` x ``SHARED`` parts lose, summed over the numbers of places that agree.
+    """The share of pairs of a similarity that ``groups`` x ``SHARED`` parts in ``ROUNDS`` rounds lose, at most.
 
-    Each group deals all its places out to parts ``SHARED`` times, so parts of different
-    dealings overlap by chance only; given the number of places that agree, parts agree as good as independently.
+    Each round deals its places out to parts ``SHARED`` times, so parts of different
+    dealings overlap by chance only; given the number of places that agree, parts agree as
+    good as independently. A round also loses what marks part; more places that agree make
+    both rarer, so the product of the shares is a bound. Rounds have places of their own.
     """
+    groups //= ROUNDS
     t = groups * PART
-    p = np.array([math.comb(t, k) * similarity**k * (1 - similarity) ** (t - k) if t < 1000 else math.exp(math.lgamma(t + 1) - math.lgamma(k + 1) - math.lgamma(t - k + 1) + k * math.log(similarity) + (t - k) * math.log1p(-similarity)) for k in range(t + 1)])
     k = np.arange(t + 1, dtype=np.float64)
     one = np.ones(t + 1)
     for r in range(PART):
         one *= np.maximum(k - r, 0) / (t - r)
-    return float((p * (1 - one) ** (groups * SHARED)).sum())
+    apart = float((binomial(t, similarity) * (1 - one) ** (groups * SHARED)).sum())
+    return (apart + (1 - apart) * mark_limit(similarity, t)[1]) ** ROUNDS
 
 
 @lru_cache(maxsize=64)
@@ -197,20 +236,27 @@ def n_groups(similarity: float, miss: float = MISS) -> int:
 
 def part_sketches(sets: list[np.ndarray], similarity: float, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(index of the set, key) of all parts of the sampled sets' parity sketches, or of those of one turn's places."""
+    return marked_parts(sets, similarity, turn, turns)[:2]
+
+
+def marked_parts(sets: list[np.ndarray], similarity: float, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``part_sketches`` and, for each key, the mark of its set at the turn's places."""
     groups = n_groups(similarity) // turns
     t = groups * PART
     full = [i for i, s in enumerate(sets) if len(s)]
     places = np.arange(turn * t + 1, (turn + 1) * t + 1, dtype=_U)
     factors = (mix(places * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32) | np.uint32(1)
-    sample = np.empty((len(full), t), np.uint32)
-    piece = np.empty((64, t), np.uint32)
-    for k, i in enumerate(full):
-        s, best = sets[i][:, None], sample[k]
-        np.multiply(s[0], factors, out=best)
-        for lo in range(0, len(s), 64):  # pieces that stay in the cache
-            e = s[lo : lo + 64]
-            np.minimum(best, np.multiply(e, factors, out=piece[: len(e)]).min(axis=0), out=best)
-    hashed = mix(sample.astype(_U) + (places << _U(32)))
+    sample = np.empty((t, len(full)), np.uint32)
+    first = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full], dtype=np.int64)])
+    lo = 0
+    while lo < len(full):
+        e = max(lo + 1, int(np.searchsorted(first, first[lo] + _RUNS, side="right")) - 1)
+        flat, start = np.concatenate([sets[i] for i in full[lo:e]]), first[lo:e] - first[lo]
+        turned = np.empty_like(flat)
+        for j in range(t):
+            np.minimum.reduceat(np.multiply(flat, factors[j], out=turned), start, out=sample[j, lo:e])
+        lo = e
+    hashed = mix(sample.T.astype(_U, order="C") + (places << _U(32)))
     keys = []
     for d in range(SHARED):
         # A dealing by a fixed order of the turn's places; the first is the natural one.
@@ -218,57 +264,90 @@ def part_sketches(sets: list[np.ndarray], similarity: float, turn: int = 0, turn
         part = np.bitwise_xor.reduce(hashed[:, order].reshape(len(full), groups, PART), axis=2)
         keys.append(mix(part + _U(d)))
     keys = np.concatenate(keys, axis=1)
-    return np.tile(np.array(full, dtype=np.int64), keys.shape[1]), keys.T.ravel()
+    m, bits = mark_shape(t)
+    flags = np.zeros((len(full), 64 * MARK), np.uint8)
+    flags[:, : m * bits] = ((hashed[:, :m, None] >> np.arange(bits, dtype=_U)) & _U(1)).reshape(len(full), m * bits)
+    marks = np.packbits(flags, axis=1).view(_U)
+    return np.tile(np.array(full, dtype=np.int64), keys.shape[1]), keys.T.ravel(), np.tile(marks, (keys.shape[1], 1))
 
 
-def packed(keys: np.ndarray, c: np.ndarray, pieces: int) -> pa.RecordBatch:
-    """Rows (piece, keys, sets) of keys by their piece, at most ``PACK`` in a row."""
+def packed(keys: np.ndarray, c: np.ndarray, pieces: int, marks: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows (piece, keys, sets, and marks where there are some) of keys by their piece, at most ``PACK`` in a row."""
     p = (keys % _U(pieces)).astype(np.uint16 if pieces <= 1 << 16 else np.int32)
     order = np.argsort(p, kind="stable")
     p, keys, c = p[order], keys[order], c[order]
     start = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
     cuts = [x for a, e in zip(start.tolist(), [*start[1:].tolist(), len(p)]) for x in range(a, e, PACK)]
     rows = list(zip(cuts, [*cuts[1:], len(p)]))
-    return pa.RecordBatch.from_arrays([pa.array(p[cuts].astype(np.int32)), *(pa.array([x[a:e].tobytes() for a, e in rows], pa.binary()) for x in (keys, c))], names=["piece", "keys", "sets"])
+    held = {"keys": keys, "sets": c} | ({} if marks is None else {"marks": marks[order]})
+    return pa.RecordBatch.from_arrays([pa.array(p[cuts].astype(np.int32)), *(pa.array([x[a:e].tobytes() for a, e in rows], pa.binary()) for x in held.values())], names=["piece", *held])
+
+
+#: Places of a key's list of sets that are compared at once; such arrays stay in the cache.
+_STEP = 1 << 14
 
 
-def meet(batches: Iterator[pa.RecordBatch], hot: int = HOT, most: int = 1_000_000, room: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Packed rows in order of piece to pairs (a, b) of sets of one key; the sets of keys that more than ``hot`` of them have go on as (key, a).
+def meet(batches: Iterator[pa.RecordBatch], hot: int = HOT, most: int = 1_000_000, room: int = 1_500_000, limit: int = MARK_BITS) -> Iterator[pa.RecordBatch]:
+    """Packed rows in order of piece to pairs (a, b) of sets of one key, with marks those that differ in ``limit`` bits at most; the sets of keys that more than ``hot`` of them have go on as (key, a, mark).
 
     A piece is held whole, but where it goes beyond ``room`` its hot keys go on at once.
     """
+    names = ["key", "a", "b", *(f"m{j}" for j in range(MARK))]
 
-    def pairs(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def told_apart(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(x)] & (x != y)
+        n = int(new.sum())
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(x[new]), pa.array(y[new]), *[pa.nulls(n, pa.int64())] * MARK], names=names)
+
+    def pairs(c: np.ndarray, m: np.ndarray | None, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
         size = end - start
         many = np.flatnonzero(size > 1)
-        i = np.repeat(start[many], size[many]) + np.arange(int(size[many].sum())) - np.repeat(np.cumsum(size[many]) - size[many], size[many])
-        n = np.repeat(end[many], size[many]) - i - 1
-        at, ends = 0, np.cumsum(n)
-        while at < len(i):
-            e = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-            k = n[at:e]
-            left = np.repeat(i[at:e], k)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
-            x, y = c[left], c[right]
-            x, y = np.minimum(x, y), np.maximum(x, y)
-            order = np.lexsort((y, x))
-            x, y = x[order], y[order]
-            new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(x)] & (x != y)
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(x[new]), pa.array(y[new])], names=["key", "a", "b"])
-            at = e
-
-    def go_on(key: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.nulls(len(c), pa.int64())], names=["key", "a", "b"])
-
-    piece, keys, sets, size, most_held = None, [], [], 0, room
+        many = many[np.argsort(-size[many], kind="stable")]
+        size = size[many]
+        ends = np.cumsum(size)
+        i = np.repeat(start[many] - ends + size, size) + np.arange(int(size.sum()))
+        c, own = c[i], np.repeat(np.arange(len(many), dtype=np.int32), size)
+        words = [] if m is None else [np.ascontiguousarray(m[i, j]) for j in range(MARK)]
+        left, right, held = [], [], 0
+        # Keys of many sets come first: at each distance the keys that still have two sets so far apart are the first rows.
+        for d in range(1, int(size[0]) if len(size) else 0):
+            top = int(ends[np.searchsorted(-size, -d) - 1]) - d
+            for lo in range(0, top, _STEP):
+                e = min(top, lo + _STEP)
+                hit = own[lo:e] == own[lo + d : e + d]
+                if words:
+                    differ = np.bitwise_count(words[0][lo:e] ^ words[0][lo + d : e + d])
+                    for w in words[1:]:
+                        differ += np.bitwise_count(w[lo:e] ^ w[lo + d : e + d])
+                    hit &= differ <= limit
+                at = np.flatnonzero(hit) + lo
+                if len(at):
+                    left.append(c[at])
+                    right.append(c[at + d])
+                    held += len(at)
+                if held >= most:
+                    yield told_apart(np.concatenate(left), np.concatenate(right))
+                    left, right, held = [], [], 0
+        if held:
+            yield told_apart(np.concatenate(left), np.concatenate(right))
+
+    def go_on(key: np.ndarray, c: np.ndarray, m: np.ndarray | None) -> pa.RecordBatch:
+        marks = [pa.nulls(len(c), pa.int64()) if m is None else pa.array(m[:, j].view(np.int64)) for j in range(MARK)]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.nulls(len(c), pa.int64()), *marks], names=names)
+
+    piece, keys, sets, marks, size, most_held = None, [], [], [], 0, room
     burning: set[int] = set()
 
     def settle(end: bool) -> Iterator[pa.RecordBatch]:
         """Hot keys go on; at the end of a piece the other ones' pairs are made, before it they stay."""
-        nonlocal keys, sets, size, most_held
+        nonlocal keys, sets, marks, size, most_held
         if not keys:
             return
         k, c = np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(sets), np.int64)
+        m = np.frombuffer(b"".join(marks), _U).reshape(-1, MARK) if marks else None
         order = np.argsort(k)
         k, c = k[order], c[order]
         start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -277,24 +356,28 @@ def meet(batches: Iterator[pa.RecordBatch], hot: int = HOT, most: int = 1_000_00
         if burning:
             big |= np.isin(k[start], np.array(list(burning)))
         rows = np.repeat(big, stop - start)
+        at = lambda x: None if m is None else m[order[x]]
         if big.any():
             burning.update(k[start[big]].tolist())
-            yield go_on(k[rows], c[rows])
+            yield go_on(k[rows], c[rows], at(rows))
         if end:
-            yield from pairs(c, start[~big], stop[~big])
-            keys, sets, size, most_held = [], [], 0, room
+            keys, sets, marks, size, most_held = [], [], [], 0, room
+            yield from pairs(c, at(slice(None)), start[~big], stop[~big])
             burning.clear()
         else:
             keys, sets, size = [k[~rows].tobytes()], [c[~rows].tobytes()], int((~rows).sum())
+            marks = [] if m is None else [at(~rows).tobytes()]
             most_held = max(room, 2 * size)
 
     for b in batches:
-        for p, k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        columns = [b.column(j).to_pylist() for j in range(b.num_columns)]
+        for p, k, c, *m in zip(*columns):
             if p != piece:
                 yield from settle(True)
                 piece = p
             keys.append(k)
             sets.append(c)
+            marks += m
             size += len(k) // 8
             if size > most_held:
                 yield from settle(False)
@@ -399,15 +482,16 @@ def class_links(sets: DataFrame, similarity: float = 0.5, bits: int = 1024, cand
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 1000):
                 s = [np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()]
-                who, keys = part_sketches(s, similarity, turn, ROUNDS)
-                yield packed(keys, b.column(0).to_numpy()[who], pieces)
+                who, keys, marks = marked_parts(s, similarity, turn, ROUNDS)
+                yield packed(keys, b.column(0).to_numpy()[who], pieces, marks)
 
         return run
 
     def met(turn: int) -> DataFrame:
-        keys = sets.select("c1", "runs").mapInArrow(sketch(turn), "piece int, keys binary, sets binary")
-        return cut(keys.repartitionById(tasks, F.col("piece")).sortWithinPartitions("piece").mapInArrow(meet, "key long, a long, b long"), "parity-met")
+        keys = sets.select("c1", "runs").mapInArrow(sketch(turn), "piece int, keys binary, sets binary, marks binary")
+        return cut(keys.repartitionById(tasks, F.col("piece")).sortWithinPartitions("piece").mapInArrow(partial(meet, limit=limit), "key long, a long, b long, " + ", ".join(f"m{j} long" for j in range(MARK))), "parity-met")
 
+    limit = mark_limit(similarity, n_groups(similarity) // ROUNDS * PART)[0]
     # Keys travel packed by pieces of about PIECE keys, so that few and larger rows are shuffled and sorted.
     pieces = max(2 * parallelism(sets.sparkSession), sets.count() * n_groups(similarity) * SHARED // ROUNDS // PIECE)
     tasks = min(pieces, max(2 * parallelism(sets.sparkSession), int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -428,8 +512,9 @@ def class_links(sets: DataFrame, similarity: float = 0.5, bits: int = 1024, cand
         pairs = cut(pairs.select("a", "b").distinct(), "parity-pairs")
     else:
         got = reduce(DataFrame.unionByName, [met(k) for k in range(ROUNDS)])
-        hot = got.where("b is null").select("key", "a")
-        across = hot.join(hot.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b")
+        hot = got.where("b is null").drop("b")
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"m{j}").bitwiseXOR(F.col(f"o{j}"))) for j in range(MARK)])
+        across = hot.join(hot.select("key", F.col("a").alias("b"), *(F.col(f"m{j}").alias(f"o{j}") for j in range(MARK))), "key").where(F.col("a") < F.col("b")).where(differ <= limit).select("a", "b")
         pairs = got.where("b is not null").select("a", "b").unionByName(across).distinct()
 
     @F.pandas_udf("binary")

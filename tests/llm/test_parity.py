@@ -97,6 +97,46 @@ def test_links_of_edited_sets_of_every_size_are_whole(spark):
         assert parity.class_links(df.limit(0), candidates=how).count() == 0
 
 
+def test_chance_pairs_of_one_domain_are_not_written(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    stock, sets = rng.choice(2**32, 150, replace=False).astype(np.uint32), []
+    for _ in range(1000):  # two of these share a tenth of their runs
+        sets.append(np.unique(np.concatenate([rng.choice(stock, 40, replace=False), rng.integers(0, 2**32, 20, dtype=np.uint32)])))
+    near = [(k, 1000 + k) for k in range(40)]
+    sets += [np.unique(np.concatenate([sets[k][6:], rng.integers(0, 2**32, 6, dtype=np.uint32)])) for k, _ in near]
+    written, cut = {}, parity.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        written[name] = written.get(name, 0) + out.select("a", "b").distinct().count() if name in ("parity-met", "parity-near") else 0
+        return out
+
+    monkeypatch.setattr(parity, "cut", counted)
+    df = spark.createDataFrame([(i, 7, len(x), x.tobytes()) for i, x in enumerate(sets)], "c1 long, c2 long, n int, runs binary").repartition(3)
+    for hot in (parity.HOT, 1):  # keys of more than ``hot`` sets meet in a join
+        monkeypatch.setattr(parity.meet, "__defaults__", (hot, *parity.meet.__defaults__[1:]))
+        written.clear()
+        got = sorted((r.c1_a, r.c1_b) for r in parity.class_links(df).collect())
+        assert got == near and written["parity-near"] <= 2 * len(near)
+        assert hot == 1 or written["parity-met"] <= parity.ROUNDS * 2 * len(near)
+
+
+def test_marks_part_no_more_pairs_than_counted():
+    rng = np.random.default_rng(8)
+    places = parity.n_groups(0.5) // parity.ROUNDS * parity.PART
+    limit, stray = parity.mark_limit(0.5, places)
+    assert 0.02 < stray <= parity.STRAY and parity.mark_limit(1.0, places) == (0, 0.0)
+    sets = []
+    for k in range(400):
+        pool = rng.choice(2**32, 160, replace=False).astype(np.uint32)
+        sets += [np.unique(pool[:120]), np.unique(pool[40:])]  # similarity 0.5
+    who, _, marks = parity.marked_parts(sets, 0.5, 1, parity.ROUNDS)
+    of = np.array([marks[np.flatnonzero(who == i)[0]] for i in range(len(sets))])
+    differ = np.bitwise_count(of[::2] ^ of[1::2]).sum(axis=1)
+    unlike = np.bitwise_count(of[:-2:2] ^ of[2::2]).sum(axis=1)
+    assert abs((differ > limit).mean() - stray) < 0.04 and (unlike > limit).all()
+
+
 def test_share_of_pairs_that_parts_lose():
     groups = parity.n_groups(0.5)
     assert parity.lost(0.5, groups) <= parity.MISS == 1e-6 < parity.lost(0.5, groups - parity.ROUNDS)
