@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut
 from .roads import _span
 
 
@@ -14,21 +15,45 @@ def name_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(name), r"(?U)\s+", " "))
 
 
+#: Segments of a street in a tile that are tried first, for a bound on the answer.
+FIRST = 16
+
+
 def crossings(requests: DataFrame, segments: DataFrame, step: float = 200.0) -> DataFrame:
     """(request, x, y): where two named streets cross.
 
     ``requests(request, street_a, street_b)``, ``segments(name, ax, ay, bx, by)``. Segments
     of the two streets meet in grid tiles, then the crossing is computed; a pair that
     crosses more than once gives the first by place. Streets that do not meet give no row.
+
+    Each two streets are worked out once, however many requests name them. The most western
+    segments of every tile are tried first; then all segments that do not lie wholly east of
+    the crossing found there.
     """
     s = segments.where("name is not null").select(name_key(F.col("name")).alias("k"), *[F.col(c).cast("double") for c in ("ax", "ay", "bx", "by")])
-    s = s.withColumn("tx", F.explode(_span(F.least("ax", "bx"), F.greatest("ax", "bx"), step))).withColumn("ty", F.explode(_span(F.least("ay", "by"), F.greatest("ay", "by"), step)))
-    r = requests.select("request", name_key(F.col("street_a")).alias("ka"), name_key(F.col("street_b")).alias("kb"))
-    side = lambda k: r.join(s.withColumnRenamed("k", k), k).select("request", "tx", "ty", F.struct("ax", "ay", "bx", "by").alias(f"s_{k}"))
-    pairs = side("ka").join(side("kb"), ["request", "tx", "ty"])
-    at = geo.intersection(*[F.col(f"s_ka.{c}") for c in ("ax", "ay", "bx", "by")], *[F.col(f"s_kb.{c}") for c in ("ax", "ay", "bx", "by")])
-    hit = pairs.withColumn("at", at).where("at is not null").groupBy("request").agg(F.min("at").alias("at"))
-    return hit.select("request", "at.x", "at.y")
+    tiled = lambda d: d.withColumn("tx", F.explode(_span(F.least("ax", "bx"), F.greatest("ax", "bx"), step))).withColumn("ty", F.explode(_span(F.least("ay", "by"), F.greatest("ay", "by"), step)))
+    names = requests.select("street_a", "street_b").where("street_a is not null and street_b is not null").distinct()
+    names = cut(names.withColumns({"ka": name_key(F.col("street_a")), "kb": name_key(F.col("street_b"))}), "crossing-names")
+    asked = names.select("ka", "kb").distinct()
+    order = Window.partitionBy("k", "tx", "ty").orderBy(F.least("ax", "bx"))
+    first = tiled(s).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FIRST)
+    bound = _least(*[asked.join(first.withColumnRenamed("k", k), k) for k in ("ka", "kb")])
+    x = F.col("at.x")  # a crossing is computed along one of its segments, so its place is rounded
+    asked = asked.join(bound, ["ka", "kb"], "left").select("ka", "kb", (x + 1e-6 * (1 + F.abs(x))).alias("east"))
+    kept = lambda k: tiled(asked.join(s.withColumnRenamed("k", k), k).where(F.col("east").isNull() | (F.least("ax", "bx") <= F.col("east"))))
+    hit = names.join(_least(kept("ka"), kept("kb")), ["ka", "kb"]).select("street_a", "street_b", "at.*")
+    hit = cut(hit.orderBy("x", "y").withColumn("n", F.monotonically_increasing_id()), "crossings")  # in order of place; its size is known then, and requests need no shuffle to meet a small one
+    r = requests.select("request", "street_a", "street_b").join(hit, ["street_a", "street_b"])
+    return r.groupBy("request").agg(*[F.min_by(c, "n").alias(c) for c in ("x", "y")])
+
+
+def _least(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(ka, kb, at): the first crossing by place of segments that two streets have in a tile."""
+    ends = ("ax", "ay", "bx", "by")
+    side = lambda d, k: d.select("ka", "kb", "tx", "ty", F.struct(*ends).alias(k))
+    at = geo.intersection(*[F.col(f"{k}.{c}") for k in ("_a", "_b") for c in ends])
+    hit = side(a, "_a").join(side(b, "_b"), ["ka", "kb", "tx", "ty"])
+    return hit.withColumn("at", at).where("at is not null").groupBy("ka", "kb").agg(F.min("at").alias("at"))
 
 
 def along(segments: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import datetime
 import json
 import os
+import random
+import threading
 
 from pyspark.sql import functions as F
 
@@ -19,6 +21,50 @@ def test_crossings_and_markers(spark):
     assert [r.id for r in geocode.precise(inc).collect()] == [1]
 
 
+SEGMENTS, REQUESTS = "name string, ax double, ay double, bx double, by double", "request int, street_a string, street_b string"
+
+
+def test_crossings_of_requests_that_share_a_number(spark):
+    segs = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 0.0), ("b", 0.0, 5.0, 10.0, 5.0), ("c", 0.0, 9.0, 10.0, 9.0), ("d", 5.0, -1.0, 5.0, 1.0)], SEGMENTS)
+    req = spark.createDataFrame([(1, "a", "b"), (1, "c", "d"), (2, "a", "d"), (2, "b", "c"), (None, "d", "a")], REQUESTS)
+    assert {tuple(r) for r in geocode.crossings(req, segs).collect()} == {(2, 5.0, 0.0), (None, 5.0, 0.0)}
+
+
+def test_crossings_against_all_pairs(spark):
+    g = random.Random(3)
+    rows = [(n, x, y, x + g.uniform(-90, 90), y + g.uniform(-90, 90)) for n in "abc" for x, y in ((g.uniform(0, 400), g.uniform(0, 300)) for _ in range(60))]
+    rows += [("far", 1000.0 + i, 0.0, 1000.0 + i, 90.0) for i in range(40)] + [("far", 1030.0, 100.0, 1040.0, 110.0), ("bar", 1029.0, 110.0, 1041.0, 100.0)]
+
+    def at(s, t):
+        (_, ax, ay, bx, by), (_, cx, cy, dx, dy) = s, t
+        den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+        p, q = (((cx - ax) * v - (cy - ay) * u) / den if den else -1 for u, v in ((dx - cx, dy - cy), (bx - ax, by - ay)))
+        return (ax + p * (bx - ax), ay + p * (by - ay)) if 0 <= p <= 1 and 0 <= q <= 1 else None
+
+    asked = [(1, "a", "b"), (2, "b", "a"), (3, "c", "b"), (4, "a", "far"), (5, "far", "bar"), (6, "a", "a"), (7, "a", "c"), (7, "far", "bar"), (7, "B ", "a"), (7, "c", "b")]
+    places = [(k, x) for k, a, b in asked for s in rows for t in rows if (s[0], t[0]) == (a.strip().lower(), b) and (x := at(s, t))]
+    want = {k: min(x for j, x in places if j == k) for k, _ in places}
+    assert set(want) == {1, 2, 3, 5, 6, 7} and want[7] not in (want[5], max(x for j, x in places if j == 7))
+    for step in (40.0, 500.0):
+        got = geocode.crossings(spark.createDataFrame(asked, REQUESTS), spark.createDataFrame(rows, SEGMENTS), step).collect()
+        assert {r.request: (r.x, r.y) for r in got} == want
+
+
+def test_crossings_are_worked_out_once_for_two_streets(spark):
+    """20,000 requests of two streets with 1,000 segments each in one tile: 20 billion pairs of segments if done for each request."""
+    i = F.col("id")
+    segs = spark.range(1000).select(F.lit("a").alias("name"), F.lit(0.0).alias("ax"), (i / 10).alias("ay"), F.lit(100.0).alias("bx"), (i / 10).alias("by"))
+    segs = segs.union(spark.range(1000).select(F.lit("b"), 50 + i / 100, F.lit(0.0), 50 + i / 100, F.lit(100.0)))
+    req = spark.range(20000).select(i.alias("request"), F.lit("a").alias("street_a"), F.lit("b").alias("street_b"))
+    stop = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = geocode.crossings(req, segs).groupBy("x", "y").count().collect()
+    finally:
+        stop.cancel()
+    assert [tuple(r) for r in got] == [(50.0, 0.0, 20000)]
+
+
 def test_report(spark, tmp_path):
     cols = "parsed_ok boolean, has_exact_time boolean, has_vague_time boolean, location_level string, n_vehicle_types int, has_casualty boolean, casualty_numeric boolean, has_weather boolean, filter_keep boolean, filter_needs_review boolean"
     rows = [(True, True, True, "precise", 2, True, False, False, True, False)] * 3 + [(True, False, True, "street", 0, False, False, True, False, True), (False, True, True, "coarse", 1, True, True, True, True, True)]
